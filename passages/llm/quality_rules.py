@@ -6,6 +6,8 @@ document that loses more than ``most_lost`` of its words is rejected.  Base rule
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,9 +40,12 @@ def repeated_window_words(own: Column, n: Column, window: int = WINDOW) -> Colum
     return F.when(n < window, F.lit(0)).otherwise(_covered(hashes, window))
 
 
-def _covered(hashes: Column, window: int) -> Column:
-    let = lambda value, f: F.get(F.transform(F.array(value), f), 0)  # noqa: E731  binds a value that is used more than once
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that f uses more than once; the optimizer cannot put the value's expression in its place."""
+    return F.get(F.transform(F.array(value), f), 0)
+
 
+def _covered(hashes: Column, window: int) -> Column:
     def count(h: Column) -> Column:
         pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
 
@@ -89,9 +94,12 @@ def _base(out: DataFrame) -> DataFrame:
 
 def _lost(most_lost: float) -> Column:
     """True if the lines that fail hold more than ``most_lost`` of the text's characters in lines."""
-    chars = lambda lines: F.aggregate(lines, F.lit(0), lambda n, x: n + F.length(x))
-    kept = F.filter("_lines", line_is_kept)
-    return chars(F.col("_lines")) * (1 - most_lost) > chars(kept)
+    return _lines_lost(F.col("_lines"), most_lost)
+
+
+def _lines_lost(lines: Column, most_lost: float) -> Column:
+    chars = lambda x: F.aggregate(x, F.lit(0), lambda n, line: n + F.length(line))
+    return chars(lines) * (1 - most_lost) > chars(F.filter(lines, line_is_kept))
 
 
 def quality_rules(docs: DataFrame, most_lost: float = MOST_LOST) -> DataFrame:
@@ -107,11 +115,14 @@ def quality_rules(docs: DataFrame, most_lost: float = MOST_LOST) -> DataFrame:
 
 def clean_lines(docs: DataFrame, most_lost: float = MOST_LOST) -> DataFrame:
     """docs without the rows that the rules reject; all columns stay as they are."""
-    names = docs.columns
-    out = _measured(docs)
-    repeated = repeated_window_words(F.col("_words"), F.col("_n"))
-    good = (F.col("_n") >= LEAST_WORDS) & ~_lost(most_lost)
-    return out.where(good).where(100 * repeated <= MOST_REPEATED * F.col("_n")).select(*(F.col(f"`{c}`") for c in names))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+
+    def unrepeated(own: Column) -> Column:
+        n = F.size(own)
+        return F.when(n < LEAST_WORDS, F.lit(False)).otherwise(100 * repeated_window_words(own, n) <= MOST_REPEATED * n)
+
+    return docs.where(let(words(text), unrepeated) & ~let(lines, lambda x: _lines_lost(x, most_lost)))
 
 
 def cleaned_text(docs: DataFrame) -> DataFrame:

@@ -67,14 +67,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def _sql_op2() -> str:
     """The template labels by plain consecutive-word search, which the index must agree with."""
     base = license_scan.BASE
-    places = " union all ".join(f"select d.doc_id, d.i - 1 as at, '{label}' as label from p d where " + " and ".join(f"d.w[d.i + {j}] = '{x}'" for j, x in enumerate(p.split())) for p, label in base.items())
+    places = " union all ".join(f"select d.doc_id, d.i - 1 as pos, '{label}' as label from p d where " + " and ".join(f"d.w[d.i + {j}] = '{x}'" for j, x in enumerate(p.split())) for p, label in base.items())
     more = " union all ".join(_template_sql(label, rare, keys) for label, rare, keys in license_scan.rare_index())
     return rf"""
 with t as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from documents),
 p as (select doc_id, w, unnest(range(1, len(w) + 1)) as i from t),
 base as ({places}),
 more as ({more}),
-b as (select doc_id, count(*) as n, min(at) as f, max(at) as l, string_agg(distinct label, ',' order by label) as labels from base group by doc_id),
+b as (select doc_id, count(*) as n, min(pos) as f, max(pos) as l, string_agg(distinct label, ',' order by label) as labels from base group by doc_id),
 a as (select doc_id, count(*) as n, string_agg(distinct label, ',' order by label) as labels from (select * from base union all select * from more) group by doc_id)
 select t.doc_id, cast(len(t.w) as bigint) as n_words, cast(coalesce(b.n, 0) as bigint) as n_base, cast(b.f as bigint) as first_word, cast(b.l as bigint) as last_word,
  coalesce(b.labels, '') as base_labels, coalesce(a.labels, '') as labels, cast(coalesce(a.n, 0) as double) / (coalesce(a.n, 0) + {license_scan.HALF}) as score
@@ -86,7 +86,7 @@ def _template_sql(label: str, rare: list, keys: list) -> str:
     word, at = max(rare, key=lambda r: (len(r[0]), r[1]))
     tests = {at: word} | dict((i, w) for w, i in rare) | {i + j: x for i, p in keys for j, x in enumerate(p)}
     low = min(tests)
-    return f"select doc_id, i - 1 - {low} as at, '{label}' as label from p where " + " and ".join(f"w[i + {k - low}] = '{x}'" for k, x in sorted(tests.items()))
+    return f"select doc_id, i - 1 - {low} as pos, '{label}' as label from p where " + " and ".join(f"w[i + {k - low}] = '{x}'" for k, x in sorted(tests.items()))
 
 
 def _sql_op9() -> str:
