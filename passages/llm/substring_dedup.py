@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,21 +40,22 @@ _32 = np.uint64(32)
 _LOW = np.uint64(0xFFFFFFFF)
 
 
+class _Digests(dict):
+    def __missing__(self, word: str) -> bytes:
+        own = self[word] = xxhash.xxh3_128_digest(word.encode("utf-8", "surrogatepass"))
+        return own
+
+
 class WordHashes:
     """128-bit hashes of words, remembered up to a bound."""
 
-    def __init__(self, most: int = 500_000):
-        self.most, self.known = most, {}
+    def __init__(self, most: int = 600_000):
+        self.most, self.known = most, _Digests()
 
     def of(self, words: list[str]) -> np.ndarray:
-        import xxhash
-
         if len(self.known) > self.most:
-            self.known = {}
-        known, digest = self.known, xxhash.xxh3_128_digest
-        for w in set(words).difference(known):
-            known[w] = digest(w.encode("utf-8", "surrogatepass"))
-        return np.frombuffer(b"".join(map(known.__getitem__, words)), np.uint64).reshape(-1, 2)
+            self.known = _Digests()
+        return np.frombuffer(b"".join(map(self.known.__getitem__, words)), np.uint64).reshape(-1, 2)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -89,7 +91,7 @@ class Batch:
             docs.append(np.full(n, doc_id, np.int64))
             at += n
         h1, h2, doc = np.concatenate(ones), np.concatenate(twos), np.concatenate(docs)
-        order = np.argsort(h1, kind="stable")
+        order = np.argsort(h1)
         h1, h2 = h1[order], h2[order]
         new = np.ones(len(h1), bool)
         new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
@@ -176,11 +178,11 @@ def _sketch(docs: DataFrame, width: int, window: int, batch_chars: int) -> np.nd
             firsts = np.flatnonzero(new)
             twice = np.logical_or.reduceat(again, firsts)
             cells = cells[firsts]
-            edges = np.searchsorted(cells, np.arange(slices + 1, dtype=np.uint64) * np.uint64(SLICE_CELLS))
+            edges = np.searchsorted(cells, np.arange(slices + 1, dtype=np.uint32) * np.uint32(SLICE_CELLS))
             part, one, two = [], [], []
             for k in np.flatnonzero(np.diff(edges)).tolist():
                 own = slice(edges[k], edges[k + 1])
-                local = cells[own] - np.uint64(k * SLICE_CELLS)
+                local = cells[own] - np.uint32(k * SLICE_CELLS)
                 part.append(k)
                 one.append(_packed(local[~twice[own]]))
                 two.append(_packed(local[twice[own]]))
@@ -190,8 +192,8 @@ def _sketch(docs: DataFrame, width: int, window: int, batch_chars: int) -> np.nd
         for ids, texts in _stream(batches, batch_chars):
             own = Batch(hashes, ids, texts, window)
             for row in _cells(own.h1, width):
-                met.append(np.unique(row))
-                held += len(met[-1])
+                met.append(row.astype(np.uint32))
+                held += len(row)
             if held > 8_000_000:
                 yield from sent()
                 met, held = [], 0
