@@ -1,11 +1,499 @@
-"""Queries and their SQL, by name."""
+"""One query for each operator over the test tables, with the SQL that DuckDB runs for it."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from passages.functions import markup
+from passages.functions import text as tx
+from passages.operators import corpus, learned, rag
+from passages.operators import segments as sg
+from passages.sources import readers
 
-def oracle_sql() -> dict:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+#: Sentences as rows, in SQL: doc_id, pos, sec, sentence, n_words.
+_SENTENCES = r"""l as (select doc_id, u.v as line, u.p - 1 as sec from documents, unnest(string_split(text, chr(10))) with ordinality u(v, p)),
+r as (select doc_id, sec, u.p as k, u.v as sentence, len(regexp_extract_all(u.v, '[\p{L}\p{N}_]+')) as n_words from l, unnest(string_split(regexp_replace(line, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) with ordinality u(v, p)),
+s as (select doc_id, row_number() over (partition by doc_id order by sec, k) - 1 as pos, sec, sentence, n_words from r where n_words > 0)"""
+_HASH = "('0x' || substr(md5({0}), 1, 8))::BIGINT"
+#: gold and hyp flags and the cuts before each sentence.
+_FLAGS = _SENTENCES + rf""",
+f as (select *, count(*) over (partition by doc_id) as n, case when lead(sec) over w = sec then 0 else 1 end as gold,
+ case when lead(sec) over w is null or {_HASH.format("doc_id::varchar || ':' || pos::varchar")} % 13 = 0 then 1 else 0 end as hyp from s window w as (partition by doc_id order by pos)),
+c as (select *, sum(gold) over w - gold as gs, sum(hyp) over w - hyp as hs from f window w as (partition by doc_id order by pos)),
+d as (select doc_id, max(n) as n, greatest(2, cast(floor(max(n) / (2.0 * sum(gold)) + 0.5) as bigint)) as k from f group by doc_id)"""
+_WINDOWS = _FLAGS + """,
+e as (select d.doc_id, d.n, d.k, greatest(0, d.n - d.k) as windows, coalesce(sum(case when (a.gs = b.gs) <> (a.hs = b.hs) then 1 else 0 end), 0) as pk_errors,
+ coalesce(sum(case when b.gs - a.gs <> b.hs - a.hs then 1 else 0 end), 0) as wd_errors
+ from d left join c a on a.doc_id = d.doc_id and a.pos + d.k < d.n left join c b on b.doc_id = a.doc_id and b.pos = a.pos + d.k group by all)"""
+
+
+def _query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return add
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- sentences and words -----------------------------------------------------------------------------------------
+
+@_query("w01_sentences", f"with {_FLAGS} select doc_id, pos, sec as section_idx, sentence, cast(n_words as bigint) as n_words, cast(gold as bigint) as is_boundary from f")
+def _(spark, d):
+    return sg.sentences(_docs(spark, d))
+
+
+@_query("w06_words", r"select doc_id, cast(len(regexp_extract_all(text, '[\p{L}\p{N}_]+')) as bigint) as n_words, md5(array_to_string(regexp_extract_all(text, '[\p{L}\p{N}_]+'), ' ')) as digest from documents")
+def _(spark, d):
+    own = _docs(spark, d).select("doc_id", tx.words(F.col("text")).alias("w"))
+    return own.select("doc_id", F.size("w").cast("long").alias("n_words"), F.md5(F.array_join("w", " ")).alias("digest"))
+
+
+@_query("w07_content_words", r"with t as (select doc_id, list_filter(regexp_extract_all(replace(replace(text || ' ***LIST***.', '***LIST***', ''), '***formula***', ''), '[\p{L}\p{N}_]+'), lambda w: w not in ('of', 'a', 'and', 'to')) as w from documents) select doc_id, cast(len(w) as bigint) as n_words, md5(array_to_string(w, ' ')) as digest from t")
+def _(spark, d):
+    own = _docs(spark, d).select("doc_id", tx.content_words(F.concat("text", F.lit(" ***LIST***.")), True).alias("w"))
+    return own.select("doc_id", F.size("w").cast("long").alias("n_words"), F.md5(F.array_join("w", " ")).alias("digest"))
+
+
+@_query("w02_list_sentences", "select doc_id, case when doc_id % 2 = 0 then array_to_string(list_transform(string_split(text, chr(10)), lambda x: x || '.'), '|') || '|***LIST***.' else text end as parts from documents")
+def _(spark, d):
+    s = F.when(F.col("doc_id") % 2 == 0, F.concat("text", F.lit("\n***LIST***."))).otherwise(F.col("text"))
+    return _docs(spark, d).select("doc_id", F.array_join(tx.split_list_sentence(s), "|").alias("parts"))
+
+
+@_query("w03_colon_lines", "with t as (select doc_id, string_split(replace(text, '.' || chr(10), ':' || chr(10)), ':' || chr(10)) as p from documents) select doc_id, array_to_string(list_transform(p, lambda x, i: case when i < len(p) then x || ':' else x end), '|') as parts from t")
+def _(spark, d):
+    return _docs(spark, d).select("doc_id", F.array_join(tx.split_colon_lines(F.replace("text", F.lit(".\n"), F.lit(":\n"))), "|").alias("parts"))
+
+
+@_query("w04_long_sentences", r"select doc_id, cast(case when len(regexp_extract_all(text, '[\p{L}\p{N}_]+')) > 45 then len(string_split(text, chr(10))) else 1 end as bigint) as n_parts from documents")
+def _(spark, d):
+    return _docs(spark, d).select("doc_id", F.size(tx.split_long(F.col("text"))).cast("long").alias("n_parts"))
+
+
+@_query("w05_section_sentences")
+def _(spark, d):
+    return _docs(spark, d).select("doc_id", F.posexplode(tx.section_sentences(F.col("text"))).alias("pos", "sentence"))
+
+
+_SYNTHETIC = "'========,1,preface.' || chr(10) || replace(text, chr(10), chr(10) || '========,' || (2 + doc_id % 3)::varchar || ',part.' || chr(10))"
+
+
+def _with_headers(docs: DataFrame):
+    """documents with a separator at each line end, as a processed article has them."""
+    level = (2 + F.col("doc_id") % 3).cast("string")
+    return docs.withColumn("text", F.concat(F.lit("========,1,preface.\n"), F.replace("text", F.lit("\n"), F.concat(F.lit("\n========,"), level, F.lit(",part.\n")))))
+
+
+@_query("w09_split_sections", rf"with t as (select doc_id, {_SYNTHETIC} as x from documents) select doc_id, cast(len(regexp_split_to_array(x, '========,\d,.*?\.')) as bigint) as high, cast(len(regexp_split_to_array(regexp_replace(x, '========,[3-9],.*?\.', '', 'g'), '========,[1-2],.*?\.')) as bigint) as low from t")
+def _(spark, d):
+    own = _with_headers(_docs(spark, d))
+    return own.select("doc_id", F.size(tx.split_sections(F.col("text"))).cast("long").alias("high"), F.size(tx.split_sections(F.col("text"), True)).cast("long").alias("low"))
+
+
+@_query("w10_without_preface", rf"with t as (select doc_id, list_filter(regexp_split_to_array({_SYNTHETIC}, '========,\d,.*?\.')[3:], lambda x: trim(x, chr(10) || ' ') <> '') as p from documents) select doc_id, cast(len(p) as bigint) as sections from t")
+def _(spark, d):
+    p = F.filter(F.slice(tx.split_sections(F.col("text")), 3, 1 << 30), lambda x: F.regexp_replace(x, "^[\n ]+$", "") != "")
+    return _with_headers(_docs(spark, d)).select("doc_id", F.size(p).cast("long").alias("sections"))
+
+
+@_query("w11_letters_only", "select doc_id, md5(regexp_replace(text, '[^a-zA-Z0-9 ]+', '', 'g')) as digest from documents")
+def _(spark, d):
+    return _docs(spark, d).select("doc_id", F.md5(tx.letters_only(F.col("text"))).alias("digest"))
+
+
+@_query("w12_clean_paragraph", "select doc_id, md5(replace(replace(replace('``' || text || ''''' ' || doc_id::varchar || ' ''s', ''''' ', ' '), ' ''s', '''s'), '``', '')) as digest from documents")
+def _(spark, d):
+    return _docs(spark, d).select("doc_id", F.md5(tx.clean_paragraph(F.concat(F.lit("``"), "text", F.lit("'' "), F.col("doc_id").cast("string"), F.lit(" 's")))).alias("digest"))
+
+
+@_query("w13_strip_html", r"select page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) as text from pages")
+def _(spark, d):
+    return _table(spark, d, "pages").select("page_id", tx.strip_html(F.col("html")).alias("text"))
+
+
+@_query("w14_without_bom", "select doc_id, md5(text) as digest from documents")
+def _(spark, d):
+    return _docs(spark, d).select("doc_id", F.md5(tx.without_bom(F.concat(F.lit("ï»¿"), "text"))).alias("digest"))
+
+
+@_query("w15_file_names", r"""select page_id, regexp_replace(url, '[\\/*?:"<>|]', '_', 'g') as name from pages""")
+def _(spark, d):
+    return _table(spark, d, "pages").select("page_id", tx.file_name(F.col("url")).alias("name"))
+
+
+@_query("w16_unquote", "select page_id, url || ' é+%' as plain, url_decode(replace(url, ' ', '%20')) as url from pages")
+def _(spark, d):
+    return _table(spark, d, "pages").select("page_id", tx.unquote(F.concat("url", F.lit(" é+%"))).alias("plain"), tx.unquote(F.replace("url", F.lit(" "), F.lit("%20"))).alias("url"))
+
+
+@_query("c06_unescape", "select page_id, md5(replace(replace(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&nbsp;', ' '), '&amp;', '&')) as digest from pages")
+def _(spark, d):
+    return _table(spark, d, "pages").select("page_id", F.md5(tx.unescape_basic(F.col("html"))).alias("digest"))
+
+
+@_query("c13_escape", "select page_id, md5(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) as digest from pages")
+def _(spark, d):
+    return _table(spark, d, "pages").select("page_id", F.md5(tx.escape_basic(F.col("html"))).alias("digest"))
+
+
+@_query("c18_titles", r"select page_id, upper(substr(t, 1, 1)) || substr(t, 2) as title from (select page_id, trim(regexp_replace(replace(url, '/', '_'), '[\s_]+', ' ', 'g')) as t from pages)")
+def _(spark, d):
+    return _table(spark, d, "pages").select("page_id", tx.normal_title(F.replace("url", F.lit("/"), F.lit("_"))).alias("title"))
+
+
+@_query("c15_clean_pages")
+def _(spark, d):
+    pages = _table(spark, d, "pages").select("page_id", F.col("url").alias("title"), F.concat(F.lit("{{note|x}}[[File:a.png|b]]\n==Intro==\n===Empty===\n==Body==\n"), "html").alias("text"))
+    return markup.clean_pages(pages, {"Note": "'''{{{1}}}''' by {{{2|nobody}}}. "})
+
+
+# --- labels and segmenters ---------------------------------------------------------------------------------------
+
+@_query("l01_targets", f"with {_FLAGS} select doc_id, cast(pos as bigint) as target from f where gold = 1")
+def _(spark, d):
+    return sg.sentences(_docs(spark, d)).where("is_boundary = 1").select("doc_id", F.col("pos").alias("target"))
+
+
+@_query("l02_labels", f"with {_FLAGS} select doc_id, cast(count(*) as bigint) as n, cast(sum(gold) as bigint) as ones from f where pos < n - 1 group by doc_id")
+def _(spark, d):
+    own = sg.sentence_arrays(_docs(spark, d)).where(F.size("s") > 1).select("doc_id", F.slice(sg.gold(F.col("s")), 1, F.size("s") - 1).alias("g"))
+    return own.select("doc_id", F.size("g").cast("long").alias("n"), F.aggregate("g", F.lit(0), lambda a, x: a + x).cast("long").alias("ones"))
+
+
+@_query("l04_context_windows", f"with {_SENTENCES} select doc_id, pos, cast(sum(n_words) over (partition by doc_id order by pos rows between 1 preceding and 1 following) as bigint) as n_words from s")
+def _(spark, d):
+    return sg.context_windows(_docs(spark, d))
+
+
+@_query("l05_word_vectors", r"with w as (select doc_id, unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+')) as word from documents), v as (select word, count(*) as n from w group by word), k as (select word, length(word) as x from v where n > 20) select w.doc_id, cast(count(*) as bigint) as words, cast(count(k.word) as bigint) as known, cast(sum(coalesce(k.x, -1)) as bigint) as total from w left join k using (word) group by w.doc_id")
+def _(spark, d):
+    words = _docs(spark, d).select("doc_id", F.explode(tx.words(F.col("text"))).alias("word"))
+    vocabulary = words.groupBy("word").count().where("count > 20").select("word", F.array(F.length("word").cast("float")).alias("vec"), F.lit(1).alias("known"))
+    unknown = spark.createDataFrame([("\0UNK", [-1.0], 0)], "word string, vec array<float>, known int")
+    got = readers.with_vectors(words, vocabulary.unionByName(unknown), "\0UNK")
+    return got.groupBy("doc_id").agg(F.count("*").alias("words"), F.count("known").alias("known"), F.sum(F.col("vec")[0]).cast("long").alias("total"))
+
+
+@_query("m04_naive_segments", f"with {_FLAGS} select doc_id, cast(sum(hyp) as bigint) as segments, cast(max(n) as bigint) as sentences from f group by doc_id")
+def _(spark, d):
+    own = sg.pairs(_docs(spark, d)).where(F.size("hyp") > 0)
+    return own.select("doc_id", F.aggregate("hyp", F.lit(0), lambda a, x: a + x).cast("long").alias("segments"), F.size("hyp").cast("long").alias("sentences"))
+
+
+@_query("m07_softmax", "select vec_id, round(1 / (1 + exp(embedding[1]::double - embedding[2]::double)), 9) as p from embeddings")
+def _(spark, d):
+    return _table(spark, d, "embeddings").select("vec_id", F.round(sg.softmax_boundary(F.col("embedding")[0].cast("double"), F.col("embedding")[1].cast("double")), 9).alias("p"))
+
+
+@_query("m01_bilstm_forward")
+def _(spark, d):
+    return learned.score_documents(sg.sentence_arrays(_docs(spark, d)), learned.BiLstm.seeded(8, 6, 3))
+
+
+@_query("m08_trained_segmenter")
+def _(spark, d):
+    return learned.trained_segmenter(_docs(spark, d))
+
+
+# --- scores ------------------------------------------------------------------------------------------------------
+
+@_query("a01_segment_masses", f"with {_FLAGS} select doc_id, cast(hs as bigint) as seg_idx, cast(min(pos) as bigint) as first_pos, cast(count(*) as bigint) as mass, cast(sum(n_words) as bigint) as word_mass from c group by doc_id, hs")
+def _(spark, d):
+    return sg.segment_rows(sg.pairs(_docs(spark, d)))
+
+
+@_query("a02_pk_per_document", f"with {_WINDOWS} select doc_id, cast(n as bigint) as n, cast(k as bigint) as k, cast(windows as bigint) as windows, cast(pk_errors as bigint) as pk_errors from e")
+def _(spark, d):
+    return sg.window_scores(sg.pairs(_docs(spark, d))).select("doc_id", F.col("n").cast("long").alias("n"), F.col("k").cast("long").alias("k"), "windows", "pk_errors")
+
+
+@_query("a03_windowdiff_corpus", f"with {_WINDOWS} select cast(sum(wd_errors) as bigint) as errors, cast(sum(windows) as bigint) as windows, round(sum(wd_errors) / sum(windows)::double, 9) as score from e")
+def _(spark, d):
+    return sg.corpus_score(sg.window_scores(sg.pairs(_docs(spark, d))), "wd_errors")
+
+
+@_query("a04_pk_corpus", f"with {_WINDOWS} select cast(sum(pk_errors) as bigint) as errors, cast(sum(windows) as bigint) as windows, round(sum(pk_errors) / sum(windows)::double, 9) as score from e")
+def _(spark, d):
+    return sg.corpus_score(sg.window_scores(sg.pairs(_docs(spark, d))))
+
+
+@_query("a02_pk_word_units")
+def _(spark, d):
+    return sg.corpus_score(sg.window_scores(sg.word_masses(sg.pairs(_docs(spark, d)))))
+
+
+_CONFUSION = """select tp, fp, fn, tn, round(coalesce(tp / nullif(tp + fp, 0)::double, -1), 9) as precision, round(coalesce(tp / nullif(tp + fn, 0)::double, -1), 9) as recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0)::double, 0), 9) as f1, round((tp + tn) / (tp + tn + fp + fn)::double, 9) as accuracy{0}
+ from (select cast(count(*) filter (gold = 1 and hyp = 1) as bigint) as tp, cast(count(*) filter (gold = 0 and hyp = 1) as bigint) as fp, cast(count(*) filter (gold = 1 and hyp = 0) as bigint) as fn, cast(count(*) filter (gold = 0 and hyp = 0) as bigint) as tn{0} from {1} where pos < n - 1 {2})"""
+
+
+@_query("a05_confusion", f"with {_FLAGS} " + _CONFUSION.format("", "f", ""))
+def _(spark, d):
+    return sg.confusion(sg.pairs(_docs(spark, d)))
+
+
+@_query("a08_f1_by_language", f"with {_FLAGS} " + _CONFUSION.format(", lang", "(select f.*, lang from f join documents using (doc_id))", "group by lang"))
+def _(spark, d):
+    return sg.confusion(sg.pairs(_docs(spark, d), keep=("lang",)), "lang")
+
+
+_SWEEP = _FLAGS + f""",
+q as (select f.doc_id, f.pos, f.n, f.gold, ({_HASH.format("'p:' || f.doc_id::varchar || ':' || f.pos::varchar")} % 1000) / 1000.0::double as p from f),
+t as (select unnest(range(0, 20)) as t),
+h as (select q.*, t.t, case when q.pos = q.n - 1 or q.p > t.t * 0.05::double then 1 else 0 end as cut from q, t),
+g as (select *, sum(gold) over w - gold as gb, sum(cut) over w - cut as hb from h window w as (partition by doc_id, t order by pos)),
+x as (select a.doc_id, a.t, cast(sum(case when (a.gb = b.gb) <> (a.hb = b.hb) then 1 else 0 end) as bigint) as errors, cast(count(*) as bigint) as windows from g a join d using (doc_id) join g b on b.doc_id = a.doc_id and b.t = a.t and b.pos = a.pos + d.k group by a.doc_id, a.t)"""
+
+
+@_query("a06_threshold_sweep", f"with {_SWEEP} select cast(t as int) as t, cast(sum(errors) as bigint) as errors, cast(sum(windows) as bigint) as windows, round(sum(errors) / sum(windows)::double, 9) as score, round(t * 0.05::double, 2) as threshold from x group by t")
+def _(spark, d):
+    return sg.threshold_sweep(sg.probabilities(_docs(spark, d)))
+
+
+@_query("a06_best_threshold", f"with {_SWEEP}, y as (select cast(t as int) as t, round(sum(errors) / sum(windows)::double, 9) as score from x group by t) select t, round(t * 0.05::double, 2) as threshold, score from y order by score, t limit 1")
+def _(spark, d):
+    return sg.best_threshold(sg.threshold_sweep(sg.probabilities(_docs(spark, d))))
+
+
+@_query("a07_cross_validation", f"""with {_SWEEP}, y as (select doc_id % 5 as fold, t, sum(errors) as e, sum(windows) as w from x group by 1, 2), z as (select t, sum(e) as e, sum(w) as w from y group by t),
+o as (select fold, y.t, y.e, y.w, row_number() over (partition by fold order by (z.e - y.e) / (z.w - y.w)::double, y.t) as r from y join z using (t))
+select fold, round(t * 0.05::double, 2) as threshold, cast(e as bigint) as errors, cast(w as bigint) as windows from o where r = 1""")
+def _(spark, d):
+    return sg.cross_validated(sg.probabilities(_docs(spark, d)))
+
+
+_STATS = """select {0}count(*) as documents, cast(min(m) as bigint) as min_segments, cast(max(m) as bigint) as max_segments, cast(sum(m) as bigint) as total_segments, cast(min(n) as bigint) as min_sentences, cast(max(n) as bigint) as max_sentences, cast(sum(n) as bigint) as total_sentences,
+ round(avg(m), 6) as mean_segments, round(stddev_pop(m), 6) as std_segments, round(avg(n), 6) as mean_sentences, round(stddev_pop(n), 6) as std_sentences from (select doc_id, max(n) as n, sum(gold) as m{1} from {2} group by all){3}"""
+
+
+@_query("a09_corpus_stats", f"with {_FLAGS} " + _STATS.format("", "", "f", ""))
+def _(spark, d):
+    return sg.corpus_stats(_docs(spark, d))
+
+
+@_query("a09_corpus_stats_by_source", f"with {_FLAGS} " + _STATS.format("source, ", ", source", "(select f.*, source from f join documents using (doc_id))", " group by source"))
+def _(spark, d):
+    return sg.corpus_stats(_docs(spark, d), "source")
+
+
+@_query("a10_annotators", f"with {_WINDOWS} select 'a' as annotator, doc_id, cast(n as bigint) as n, cast(k as bigint) as k, cast(windows as bigint) as windows, cast(pk_errors as bigint) as pk_errors, true as matched from e")
+def _(spark, d):
+    own = sg.pairs(_docs(spark, d))
+    cuts = own.select(F.lit("a").alias("annotator"), "doc_id", F.posexplode("hyp").alias("sent_idx", "cut"))
+    out = sg.annotator_scores(cuts, own)
+    return out.withColumns({c: F.col(c).cast("long") for c in ("n", "k")})
+
+
+@_query("a11_label_accuracy", f"with {_FLAGS} select doc_id, round(avg(case when gold = hyp then 1.0 else 0.0 end), 9)::double as accuracy from f group by doc_id")
+def _(spark, d):
+    own = sg.pairs(_docs(spark, d)).where(F.size("gold") > 0)
+    same = F.size(F.filter(F.arrays_zip("gold", "hyp"), lambda x: x["gold"] == x["hyp"]))
+    return own.select("doc_id", F.round(same / F.size("gold"), 9).alias("accuracy"))
+
+
+@_query("a12_questions_per_title", "select conv_id, cast(count(*) as bigint) as turns, cast(count(*) filter (role = 'user') as bigint) as questions from conversations group by conv_id")
+def _(spark, d):
+    return _table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.sum((F.col("role") == "user").cast("long")).alias("questions"))
+
+
+@_query("a13_side_by_side", f"with {_FLAGS} select doc_id, md5(string_agg(sentence || case when gold = 1 then chr(10) || '==========' else '' end || case when hyp = 1 then chr(10) || '----------' else '' end, chr(10) order by pos)) as digest from f group by doc_id")
+def _(spark, d):
+    docs = _docs(spark, d)
+    return sg.side_by_side(sg.pairs(docs).where(F.size("gold") > 0), sg.sentence_arrays(docs)).select("doc_id", F.md5("report").alias("digest"))
+
+
+# --- corpus filters ----------------------------------------------------------------------------------------------
+
+@_query("f01_titles", "with t as (select doc_id, case doc_id % 4 when 0 then doc_id::varchar when 1 then 'Category:' || source when 2 then source || ' (disambiguation)' else source end as title from documents) select doc_id, title, doc_id % 4 = 3 as is_article from t")
+def _(spark, d):
+    k = F.col("doc_id") % 4
+    title = F.when(k == 0, F.col("doc_id").cast("string")).when(k == 1, F.concat(F.lit("Category:"), "source")).when(k == 2, F.concat("source", F.lit(" (disambiguation)"))).otherwise(F.col("source"))
+    return _docs(spark, d).select("doc_id", title.alias("title")).withColumn("is_article", corpus.title_is_article(F.col("title")))
+
+
+@_query("f02_body_lines", "with t as (select doc_id, list_filter(string_split(text, chr(10)), lambda x: x <> '')[3:] as b from documents) select doc_id, cast(len(b) as bigint) as n, md5(array_to_string(b, chr(10))) as digest from t")
+def _(spark, d):
+    return _docs(spark, d).select("doc_id", corpus.body_lines(F.col("text")).alias("b")).select("doc_id", F.size("b").cast("long").alias("n"), F.md5(F.array_join("b", "\n")).alias("digest"))
+
+
+@_query("f03_section_runs", "with l as (select doc_id, u.v as line, u.p - 1 as line_no from documents, unnest(string_split(text, chr(10))) with ordinality u(v, p)), g as (select doc_id, line_no, sum(case when length(line) < 40 then 1 else 0 end) over (partition by doc_id order by line_no) as run from l) select doc_id, cast(run as bigint) as run, cast(min(line_no) as bigint) as first_line, cast(count(*) as bigint) as lines from g group by doc_id, run")
+def _(spark, d):
+    lines = _docs(spark, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    run = F.sum((F.length("line") < 40).cast("long")).over(Window.partitionBy("doc_id").orderBy("line_no"))
+    return lines.withColumn("run", run).groupBy("doc_id", "run").agg(F.min("line_no").cast("long").alias("first_line"), F.count("*").alias("lines"))
+
+
+_SECTIONS = r"""l as (select doc_id, u.v as line, u.p - 1 as sec from documents, unnest(string_split(text, chr(10))) with ordinality u(v, p)),
+r as (select doc_id, sec, line, u.v as sentence from l, unnest(string_split(regexp_replace(line, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) with ordinality u(v, p)),
+k as (select doc_id, sec, line, count(*) filter (len(regexp_extract_all(sentence, '[\p{L}\p{N}_]+')) >= 2) as n from r group by all),
+v as (select doc_id, sec, n, length(regexp_replace(line, '[^a-zA-Z]', '', 'g')) as letters from k),
+x as (select doc_id, sec, cast(n as bigint) as n, cast(letters as bigint) as letters, case when letters < 20 then 'letters' when n < 2 then 'sentences' end as reason from v)"""
+
+
+def _sections(docs: DataFrame) -> DataFrame:
+    rows = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("sec", "line"))
+    rows = rows.select("doc_id", "sec", "line", corpus.keep_sentences(tx.split_sentences(F.col("line"))).alias("k"))
+    rows = rows.select("doc_id", F.col("sec").cast("long").alias("sec"), F.col("k.n").cast("long").alias("n"), corpus.letter_count(F.col("line")).cast("long").alias("letters"), "k")
+    return rows.withColumn("reason", corpus.section_verdict(F.col("letters"), F.col("n"), F.col("k.lists"), F.col("k.formulas"), F.col("k.codes"))).drop("k")
+
+
+@_query("f05_section_validity", f"with {_SECTIONS} select * from x")
+def _(spark, d):
+    return _sections(_docs(spark, d))
+
+
+@_query("f06_article_validity", f"with {_SECTIONS} select doc_id, cast(count(*) as bigint) as sections, cast(count(*) filter (reason is null) as bigint) as valid, count(*) filter (reason is null) >= 3 and count(*) filter (reason is null) >= 0.2 * count(*) as is_valid from x group by doc_id")
+def _(spark, d):
+    return corpus.valid_articles(_sections(_docs(spark, d)))
+
+
+_LEVELS = "u as (select doc_id, v.p as i, v.v as line, case when length(v.v) < 60 then 2 + length(v.v) % 3 end as level from documents, unnest(string_split(text, chr(10))) with ordinality v(v, p))"
+
+
+@_query("f07_pruned_headers", f"with {_LEVELS}, b as (select a.doc_id, a.i, a.level, min(c.i) as stop from u a left join u c on c.doc_id = a.doc_id and c.i > a.i and c.level <= a.level where a.level is not null group by all), k as (select b.doc_id, b.i from b where exists (select 1 from u c where c.doc_id = b.doc_id and c.level is null and c.i > b.i and (b.stop is null or c.i < b.stop))) select doc_id, cast(count(*) as bigint) as kept from (select doc_id, i from u where level is null union all select doc_id, i from k) group by doc_id")
+def _(spark, d):
+    level = lambda x: F.when(F.length(x) < 60, 2 + F.length(x) % 3)
+    own = _docs(spark, d).select("doc_id", F.transform(F.split("text", "\n"), lambda x: F.struct(level(x).cast("int").alias("level"), x.alias("text"))).alias("h"))
+    return own.select("doc_id", F.size(corpus.pruned_headers(F.col("h"))).cast("long").alias("kept")).where("kept > 0")
+
+
+@_query("f08_occurrences", "select doc_id, cast(len(string_split(text, 'the')) - 1 as bigint) as n from documents")
+def _(spark, d):
+    return _docs(spark, d).select("doc_id", tx.occurrences(F.col("text"), "the").cast("long").alias("n"))
+
+
+_PARTITION = "case when b < 80 then 'train' when b < 90 then 'test' else 'dev' end"
+
+
+@_query("f09_partitions", f"select doc_id, case when l.doc_id is not null then 'test' else {_PARTITION} end as partition from (select doc_id, {_HASH.format('doc_id::varchar')} % 100 as b from documents) t left join (select distinct doc_id from labels where toxic = 1) l using (doc_id)".replace("select doc_id, case", "select t.doc_id, case"))
+def _(spark, d):
+    return corpus.with_partition(_docs(spark, d), _table(spark, d, "labels").where("toxic = 1")).select("doc_id", "partition")
+
+
+@_query("f10_ranked_split", f"with t as (select doc_id, percent_rank() over (partition by source order by {_HASH.format('doc_id::varchar')}, doc_id) as r from documents) select doc_id, case when r < 0.8 then 'train' when r < 0.9 then 'test' else 'dev' end as partition from t")
+def _(spark, d):
+    r = F.percent_rank().over(Window.partitionBy("source").orderBy(tx.stable_hash(F.col("doc_id").cast("string")), "doc_id"))
+    return _docs(spark, d).select("doc_id", r.alias("r")).select("doc_id", F.when(F.col("r") < 0.8, "train").when(F.col("r") < 0.9, "test").otherwise("dev").alias("partition"))
+
+
+@_query("f11_denylist", "select doc_id, n_chars from documents where doc_id not in (select doc_id from labels where toxic = 1)")
+def _(spark, d):
+    return corpus.without_denied(_docs(spark, d), _table(spark, d, "labels").where("toxic = 1")).select("doc_id", "n_chars")
+
+
+@_query("f11_missing_ids", "select doc_id from labels where doc_id not in (select doc_id from documents)")
+def _(spark, d):
+    return corpus.missing_denied(_docs(spark, d), _table(spark, d, "labels"))
+
+
+@_query("f12_counters", f"with {_SENTENCES} select count(*) as sentences, round(avg(n_words), 6) as mean_words from s")
+def _(spark, d):
+    return sg.sentences(_docs(spark, d)).agg(F.count("*").alias("sentences"), F.round(F.avg("n_words"), 6).alias("mean_words"))
+
+
+@_query("s18_article_paths", "with t as (select doc_id, case when length(doc_id::varchar) < 7 then lpad(doc_id::varchar, 7, '0') else doc_id::varchar end as p from documents) select doc_id, substr(p, 1, 2) || '/' || substr(p, 3, 2) || '/' || substr(p, 5, 2) || '/' || doc_id::varchar as path from t")
+def _(spark, d):
+    return _docs(spark, d).select("doc_id", corpus.article_path(F.col("doc_id")).alias("path"))
+
+
+@_query("s24_topic_rows", "with t as (select doc_id // 10 as g, doc_id, lang, text from documents) select g::varchar as doc_id, doc_id as line_no, lang as topic, substr(text, 1, 20) as sentence, 2 as level, coalesce(lag(lang) over (partition by g order by doc_id) <> lang, true) as starts from t".replace("substr(text, 1, 20)", "replace(substr(text, 1, 20), ',', ';')"))
+def _(spark, d):
+    value = F.concat((F.floor(F.col("doc_id") / 10)).cast("string"), F.lit(",x,"), "lang", F.lit("\x01"), F.replace(F.substring("text", 1, 20), F.lit(","), F.lit(";")))
+    return readers.topic_rows(_docs(spark, d).select(F.col("doc_id").alias("line_no"), value.alias("value")))
+
+
+@_query("s27_separators", "select doc_id, md5(replace(replace(text, chr(10), chr(10) || '==========' || chr(10)), '==========', repeat('*', 44))) as digest from documents")
+def _(spark, d):
+    marked = F.replace("text", F.lit("\n"), F.lit("\n==========\n"))
+    return _docs(spark, d).select("doc_id", F.md5(F.replace(marked, F.lit("=" * 10), F.lit("*" * 44))).alias("digest"))
+
+
+@_query("s29_sample", "select doc_id from documents order by md5('0:' || doc_id::varchar), doc_id limit 50")
+def _(spark, d):
+    return readers.sample_rows(_docs(spark, d), 50, "doc_id").select("doc_id")
+
+
+# --- assembly, chunks, vectors -----------------------------------------------------------------------------------
+
+@_query("d01_assembled", "with r as (select role as title, text, min(conv_id * 1000 + turn) as at_, count(*) as n from conversations group by all), t as (select title, string_agg(text, chr(10) order by at_) as content, count(*) as c, sum(n) as n, min(at_) as f from r group by title) select row_number() over (order by f) as doc_id, title, md5(content) as digest, cast(c as bigint) as n_contexts, cast(n as bigint) as n_rows from t")
+def _(spark, d):
+    rows = _table(spark, d, "conversations").withColumn("row_no", F.col("conv_id") * 1000 + F.col("turn"))
+    return rag.assembled(rows, "role", "text", "row_no").select("doc_id", "title", F.md5("content").alias("digest"), "n_contexts", "n_rows")
+
+
+@_query("d02_distinct_contexts", "select source, md5(text) as digest, min(doc_id) as row_no, row_number() over (partition by source order by min(doc_id)) as place from documents group by source, text")
+def _(spark, d):
+    return rag.distinct_contexts(_docs(spark, d), "source", "text", "doc_id").select("source", F.md5("text").alias("digest"), "row_no", "place")
+
+
+@_query("d03_turns", "select conv_id, string_agg(role, ',' order by turn) as roles, cast(count(*) as bigint) as n from conversations group by conv_id")
+def _(spark, d):
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role")))
+    return _table(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(turns, lambda x: x["role"]), ",").alias("roles"), F.count("*").alias("n"))
+
+
+@_query("d05_one_per_title", "select source, doc_id from (select source, doc_id, row_number() over (partition by source order by doc_id) as r from documents where length(text) <= 2000) where r = 1")
+def _(spark, d):
+    return rag.one_per_title(_docs(spark, d), "source", "text", "doc_id", 2000).select("source", "doc_id")
+
+
+@_query("v01_fixed_chunks", """with recursive w as (select doc_id, list_filter(string_split(text, ' '), lambda x: x <> '') as a from documents),
+c as (select doc_id, a, 1 as i, 0 as size, 0 as chunk, '' as held from w union all select doc_id, a, i + 1, case when size + length(a[i]) + 1 >= 256 then 0 else size + length(a[i]) + 1 end, case when size + length(a[i]) + 1 >= 256 then chunk + 1 else chunk end, '' from c where i <= len(a)),
+p as (select doc_id, i, chunk, a[i] as word from c where i <= len(a))
+select doc_id, cast(chunk as bigint) as chunk_idx, md5(string_agg(word, ' ' order by i)) as digest, cast(count(*) as bigint) as n_words, sha256(doc_id::varchar || ':' || chunk::varchar) as chunk_id from p group by doc_id, chunk""")
+def _(spark, d):
+    return rag.fixed_chunks(_docs(spark, d)).select("doc_id", "chunk_idx", F.md5("chunk").alias("digest"), "n_words", "chunk_id")
+
+
+@_query("v02_sentence_chunks")
+def _(spark, d):
+    own = sg.sentence_arrays(_docs(spark, d)).withColumn("flags", sg.gold(F.col("s")))
+    return rag.segment_chunks(own, "flags", 256, "sentence")
+
+
+@_query("v03_word_chunks")
+def _(spark, d):
+    own = sg.sentence_arrays(_docs(spark, d)).withColumn("flags", sg.gold(F.col("s")))
+    return rag.segment_chunks(own, "flags", 64, "word")
+
+
+@_query("v04_hashed_vectors")
+def _(spark, d):
+    return _table(spark, d, "pages").select("page_id", rag.hashed_vector(F.col("url")).alias("vector"))
+
+
+@_query("v08_nearest", "with q as (select * from embeddings where vec_id % 20 = 0), p as (select q.vec_id as query_id, e.vec_id as neighbour_id, list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda z: (z[1]::double - z[2]::double) * (z[1]::double - z[2]::double))) as dist from q join embeddings e on q.vec_id <> e.vec_id) select query_id, neighbour_id, round(dist, 6) as distance, rank from (select *, row_number() over (partition by query_id order by dist, neighbour_id) as rank from p) where rank <= 5")
+def _(spark, d):
+    v = _table(spark, d, "embeddings")
+    return rag.nearest(v, v.where("vec_id % 20 = 0"), 5).withColumn("distance", F.round("distance", 6))
+
+
+# --- extras ------------------------------------------------------------------------------------------------------
+
+@_query("x01_cube", "select lang, source, count(*) as n, cast(sum(n_chars) as bigint) as chars from documents group by cube (lang, source)")
+def _(spark, d):
+    return _docs(spark, d).cube("lang", "source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
