@@ -30,13 +30,17 @@ def sentences(docs: DataFrame) -> DataFrame:
 
 def gold(s: Column) -> Column:
     """1 for the last sentence of each section."""
-    return F.transform(s, lambda x, i: F.when(F.get(s, i + 1)["section_idx"] == x["section_idx"], 0).otherwise(1))
+    return let(s, lambda s: F.transform(s, lambda x, i: F.when(F.get(s, i + 1)["section_idx"] == x["section_idx"], 0).otherwise(1)))
 
 
 def naive(doc_id: Column, n: Column, average: int = AVERAGE_SEGMENT) -> Column:
     """Independent cuts of chance 1/average from a hash of document and place; the last sentence is a cut."""
-    at = F.sequence(F.lit(0), n - 1)
-    return F.when(n > 0, F.transform(at, lambda i: F.when((i == n - 1) | (stable_hash(doc_id.cast("string"), i.cast("string")) % average == 0), 1).otherwise(0))).otherwise(F.array().cast("array<int>"))
+
+    def cuts(n: Column) -> Column:
+        own = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when((i == n - 1) | (stable_hash(doc_id.cast("string"), i.cast("string")) % average == 0), 1).otherwise(0))
+        return F.when(n > 0, own).otherwise(F.array().cast("array<int>"))
+
+    return let(n, cuts)
 
 
 def pairs(docs: DataFrame, average: int = AVERAGE_SEGMENT, keep: tuple[str, ...] = ()) -> DataFrame:
