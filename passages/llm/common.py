@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passages.ship import ship
@@ -33,6 +33,24 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def held_out(doc_id: str = "doc_id") -> Column:
+    """True where no label may be learnt: crc32 of the id as text, modulo 3, is 1."""
+    return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(3)) == 1
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, value: int, most: int) -> DataFrame:
+    """doc_id, text of at most ``most`` documents that ``labels`` marks ``value`` and that are not held out, first by a hash of doc_id.
+
+    The ids are chosen without the texts, so that texts are read only of the few documents that were chosen.  A repeated
+    doc_id counts once, with the smallest of its texts.
+    """
+    known = labels.select("doc_id", F.col(label).cast("int").alias("_label")).where(F.col("doc_id").isNotNull() & (F.col("_label") == value)).where(~held_out()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    there = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    first = known.join(there, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    ids = docs.sparkSession.createDataFrame(first.collect(), "doc_id long")  # bounded by ``most``
+    return id_and_text(docs).join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; where it names none (tests), one of our own."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passages.llm.common import bounded_batches, id_and_text, words_of
+from passages.llm.common import bounded_batches, held_out, id_and_text, training_rows, words_of
 
 MAX_ROWS = 2000
 SHRINK = 0.15
@@ -123,20 +123,26 @@ def fit(x: np.ndarray, y: np.ndarray, shrink: float = SHRINK) -> Qda | Constant:
     return model
 
 
-def held_out(doc_id: str = "doc_id"):
-    """True where no label may be learnt."""
-    return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(3)) == 1
+def _with_statistics(rows: DataFrame) -> DataFrame:
+    """doc_id, x: the statistics of each row of (doc_id, text)."""
+    bounded_batches(rows.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = [statistics(t).tolist() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "x"])
+
+    return rows.select("doc_id", "text").mapInArrow(run, "doc_id long, x array<double>")
 
 
 def train_on(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Qda | Constant:
-    """Fit on the labelled documents that are not held out, at most ``max_rows`` of each class."""
-    known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)").where(~held_out())
-    own = id_and_text(docs).join(known, "doc_id")
-    rows = []
+    """Fit on the labelled documents that are not held out, at most ``max_rows`` of each class; the driver gets only their statistics."""
+    x, y = [], []
     for value in (0, 1):
-        rows += own.where(F.col("quality") == value).orderBy(F.xxhash64("doc_id"), "doc_id").select("text", "quality").limit(max_rows).collect()  # bounded
-    x = np.array([statistics(r["text"]) for r in rows]).reshape(-1, N_FEATURES)
-    return fit(x, np.array([r["quality"] for r in rows]))
+        for row in sorted(_with_statistics(training_rows(docs, labels, "quality", value, max_rows)).collect()):  # bounded
+            x.append(row["x"])
+            y.append(value)
+    return fit(np.array(x).reshape(-1, N_FEATURES), np.array(y))
 
 
 def quality_scores(docs: DataFrame, model: Qda | Constant, threshold: float = 0.5) -> DataFrame:
