@@ -1,7 +1,7 @@
 """Toxicity by a subsequence string-kernel support vector machine with Nyström landmarks.
 
 The kernel of two words is the inner product of their four-letter subsequences, each weighted by ``DECAY`` to the power
-of the span it covers (6 letters at most; a word's start counts as a letter).  Gapped and inserted letters therefore only
+of the span it covers (6 letters at most; a word's start and its end count as letters).  Gapped and inserted letters therefore only
 weaken a match.  Symbols inside a word are dropped, letters spaced out one by one are joined, and digits read as the
 letters they imitate.
 
@@ -25,14 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passages.llm.common import bounded_batches, groups_by_size, id_and_text
+from passages.llm.common import bounded_batches, groups_by_size, held_out, id_and_text, training_rows
 
 DECAY = 0.7
 SPAN = 6
 MAX_TOXIC = 1000
-MAX_CLEAN = 2000
-LANDMARKS = 256
-#: Codes past the 26 letters: a word's start, and letters with acute, grave, other marks, and the rest.
+MAX_CLEAN = 4000
+LANDMARKS = 384
+#: Letters that are scored at a time.
+_PART = 1 << 18
+#: Codes past the 26 letters: a word's start, and letters with acute, grave, other marks, and the rest; a word's end is 0.
 _BREAK, _ACUTE, _GRAVE, _MARKED, _OTHER = 27, 28, 29, 30, 31
 _GAPS = [(a, b, c) for a in range(1, SPAN) for b in range(1, SPAN) for c in range(1, SPAN) if a + b + c < SPAN]
 _TABLE_SIZE = 1 << 20
@@ -58,8 +60,28 @@ def _letters() -> np.ndarray:
 _TABLE: list[np.ndarray] = []
 
 
+def _scores_of(c: np.ndarray, at: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Sums over the words that start at ``at`` in the codes."""
+    n = len(c)
+    word = np.zeros(n, np.int32)
+    word[at] = 1
+    word = np.cumsum(word, dtype=np.int32)
+    c1, c2, c3 = c << 15, c << 10, c << 5
+    total = np.zeros(n, np.float32)
+    for span in range(4, SPAN + 1):
+        m = n - span + 1
+        if m < 1:
+            break
+        part = np.zeros(m, np.float32)
+        for x, y, z in _GAPS:
+            if x + y + z == span - 1:
+                part += weights[c1[:m] | c2[x : x + m] | c3[x + y : x + y + m] | c[span - 1 :]]
+        total[:m] += part * (word[:m] == word[span - 1 :]) * np.float32(DECAY**span)
+    return np.add.reduceat(total, at)
+
+
 class Letters:
-    """Letter codes of some texts, word by word; each word starts with a break that belongs to it."""
+    """Letter codes of some texts, word by word; each word starts with a break and ends with a 0, which belong to it."""
 
     def __init__(self, texts: list[str]):
         if not _TABLE:
@@ -87,32 +109,23 @@ class Letters:
             codes = codes[keep]
             at = np.flatnonzero(codes == _BREAK)
             owner = owner[~joined]
-        self.codes, self.at, self.owner, self.n = codes.astype(np.int32), at, owner, len(texts)
+        if len(at):
+            codes = np.insert(codes, np.r_[at[1:], len(codes)], 0)
+            at = at + np.arange(len(at))
+        self.codes, self.at, self.owner, self.n = codes, at, owner, len(texts)
 
     def word(self, k: int) -> str:
         end = self.at[k + 1] if k + 1 < len(self.at) else len(self.codes)
-        return "".join(chr(96 + c) for c in self.codes[self.at[k] + 1 : end].tolist())
+        return "".join(chr(96 + c) for c in self.codes[self.at[k] + 1 : end - 1].tolist())
 
     def word_scores(self, weights: np.ndarray) -> np.ndarray:
         """Sum of the weights of each word's subsequences."""
-        if not len(self.at):
-            return np.empty(0, np.float32)
-        c, n = self.codes, len(self.codes)
-        word = np.zeros(n, np.int32)
-        word[self.at] = 1
-        word = np.cumsum(word, dtype=np.int32)
-        c1, c2, c3 = c << 15, c << 10, c << 5
-        total = np.zeros(n, np.float32)
-        for span in range(4, SPAN + 1):
-            m = n - span + 1
-            if m < 1:
-                break
-            part = np.zeros(m, np.float32)
-            for x, y, z in _GAPS:
-                if x + y + z == span - 1:
-                    part += weights[c1[:m] | c2[x : x + m] | c3[x + y : x + y + m] | c[span - 1 :]]
-            total[:m] += part * (word[:m] == word[span - 1 :]) * np.float32(DECAY**span)
-        return np.add.reduceat(total, self.at)
+        out, end, a = np.empty(len(self.at), np.float32), np.r_[self.at[1:], len(self.codes)], 0
+        while a < len(out):  # whole words, a part at a time
+            z = max(a + 1, int(np.searchsorted(end, self.at[a] + _PART, "right")))
+            out[a:z] = _scores_of(self.codes[self.at[a] : end[z - 1]].astype(np.int32), self.at[a:z] - self.at[a], weights)
+            a = z
+        return out
 
     def text_scores(self, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The highest word score of each text (-inf without words), and all word scores."""
@@ -126,8 +139,8 @@ class Letters:
 
 def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word numbers, subsequence numbers and weights of all words."""
-    size = np.array([len(w) + 1 for w in words], np.int64)
-    c = np.frombuffer(("{" + "{".join(words)).encode("latin-1"), np.uint8).astype(np.int64) - 96 if words else np.empty(0, np.int64)
+    size = np.array([len(w) + 2 for w in words], np.int64)
+    c = np.frombuffer("".join(f"{{{w}`" for w in words).encode("latin-1"), np.uint8).astype(np.int64) - 96
     row = np.repeat(np.arange(len(words)), size)
     rows, keys, values = [], [], []
     for x, y, z in _GAPS:
@@ -210,7 +223,7 @@ def _first_guess(words: list[set[str]], clean: list[set[str]]) -> list[str]:
     return out
 
 
-def train(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, rounds: int = 3, seed: int = 7) -> StringKernelSvm:
+def train(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, rounds: int = 5, seed: int = 7) -> StringKernelSvm:
     """Fit on labelled texts.  Without both classes every text scores the share of toxic ones."""
     y = np.array(toxic)
     if not len(y) or y.min() == y.max():
@@ -260,19 +273,14 @@ def train(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, rounds
     return StringKernelSvm(weights, offset, float(ab[0]), float(ab[1]))
 
 
-def held_out(doc_id: str = "doc_id"):
-    """True where no label may be learnt."""
-    return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(3)) == 1
-
-
 def train_on(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> StringKernelSvm:
     """Fit on the labelled documents that are not held out: at most the two bounds, first by a hash of doc_id."""
-    known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(~held_out())
-    own = id_and_text(docs).join(known, "doc_id")
-    rows = []
+    texts, toxic = [], []
     for value, most in ((1, max_toxic), (0, max_clean)):
-        rows += own.where(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").select("text", "toxic").limit(most).collect()  # bounded
-    return train([r["text"] for r in rows], [r["toxic"] for r in rows])
+        for row in sorted(training_rows(docs, labels, "toxic", value, most).collect()):  # bounded
+            texts.append(row["text"])
+            toxic.append(value)
+    return train(texts, toxic)
 
 
 def toxicity(docs: DataFrame, model: StringKernelSvm, threshold: float = 0.7) -> DataFrame:
