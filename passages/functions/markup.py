@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 
 from passages.ship import ship
 
+# Element names, prefixes and depths that right results depend on.
 DISCARDED = ("gallery", "timeline", "noinclude", "pre", "table", "tr", "td", "th", "caption", "div", "form", "input", "select", "option", "textarea", "ul", "li", "ol", "dl", "dt", "dd", "menu", "dir", "ref", "references", "img", "imagemap", "source", "small", "sub", "sup")
 IGNORED = ("abbr", "b", "big", "blockquote", "center", "cite", "em", "font", "h1", "h2", "h3", "h4", "hiero", "i", "kbd", "nowiki", "p", "plaintext", "s", "span", "strike", "strong", "tt", "u", "var", "a", "br", "hr")
 ACCEPTED_PREFIXES = ("w", "wiktionary", "wikt")

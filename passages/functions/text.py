@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Tokens, stop words and the separator of the corpus format.
 LIST_TOKEN, FORMULA_TOKEN, CODE_TOKEN = "***LIST***", "***formula***", "***codice***"
 SPECIAL_TOKENS = (LIST_TOKEN, FORMULA_TOKEN, CODE_TOKEN)
 STOP_WORDS = ("of", "a", "and", "to")

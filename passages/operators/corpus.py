@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from passages.functions.text import CODE_TOKEN, FORMULA_TOKEN, LIST_TOKEN, occurrences, stable_hash, words
 
+# Reserved title prefixes and the thresholds of the filters.
 NAMESPACES = ("category", "file", "image", "template", "wikipedia", "help", "portal", "book", "draft", "education program", "timedtext", "module", "gadget", "mediawiki", "user", "talk", "special", "media", "topic")
 MIN_LETTERS, MIN_SENTENCES, MAX_FORMULAS, MAX_CODES, MIN_SECTIONS, MIN_WORDS, MIN_VALID_RATIO, MAX_LIST_RATIO = 20, 2, 3, 2, 3, 2, 0.2, 0.5
 
