@@ -277,13 +277,3 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = WORDS, t
     labels, _ = cut(named.select("fp", "root").join(least, "root").select("fp", "component_id"))
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return own.join(labels, "fp").select("doc_id", "fp", hexed.alias("fingerprint"), "component_id")
-
-
-def keep_one_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """docs without all but the first document (smallest doc_id) of each near-duplicate group.
-
-    Rows with a null doc_id cannot be told apart and stay, as do all rows that share the doc_id that stays.
-    """
-    found = near_duplicates(docs.select("doc_id", "text"), radius)
-    gone = found.where("doc_id > component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
