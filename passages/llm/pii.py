@@ -31,18 +31,22 @@ DEFAULT_KEY = b"change this key"
 _DAY0, _DAYS = datetime.date(1900, 1, 1).toordinal(), datetime.date(2100, 1, 1).toordinal() - datetime.date(1900, 1, 1).toordinal()
 _DIGIT, _LOWER, _UPPER, _HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
 
-_FINDS = re.compile(
-    r"(?P<email>[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
-    r"|(?P<secret>\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|(?:(?<=token = \")|(?<=token=)|(?<=password=)|(?<=password: )|(?<=passwd=)|(?<=secret=)|(?<=api_key=)|(?<=apikey=)|(?<=secret = \")|(?<=password = \")|(?<=api_key = \"))[A-Za-z0-9_\-]{8,})"
-    r"|(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)"
-    r"|(?P<ip>(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d))"
-    r"|(?P<iso>(?<![\d-])\d{4}-\d{2}-\d{2}(?![\d-]))"
-    r"|(?P<us>(?<![\d/])\d{1,2}/\d{1,2}/\d{4}(?![\d/]))"
-    r"|(?P<eu>(?<![\d.])\d{1,2}\.\d{1,2}\.\d{4}(?!\.?\d))"
-    r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
-    r"|(?P<card>(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-]))"
-    r"|(?P<phone>(?<![\d+])(?:\+?1[ .-]?)?\(?[2-9]\d{2}\)?[ .-]?[2-9]\d{2}[ .-]?\d{4}(?!\d))"
-)
+_KINDS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "secret": r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|(?:(?<=token = \")|(?<=token=)|(?<=password=)|(?<=password: )|(?<=passwd=)|(?<=secret=)|(?<=api_key=)|(?<=apikey=)|(?<=secret = \")|(?<=password = \")|(?<=api_key = \"))[A-Za-z0-9_\-]{8,}",
+    "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
+    "ip": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)",
+    "iso": r"(?<![\d-])\d{4}-\d{2}-\d{2}(?![\d-])",
+    "us": r"(?<![\d/])\d{1,2}/\d{1,2}/\d{4}(?![\d/])",
+    "eu": r"(?<![\d.])\d{1,2}\.\d{1,2}\.\d{4}(?!\.?\d)",
+    "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
+    "card": r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-])",
+    "phone": r"(?<![\d+])(?:\+?1[ .-]?)?\(?[2-9]\d{2}\)?[ .-]?[2-9]\d{2}[ .-]?\d{4}(?!\d)",
+}
+_FINDS = re.compile("|".join(f"(?P<{k}>{p})" for k, p in _KINDS.items()))
+#: The kinds that are tried where one was found but is not valid.
+_AFTER = {k: [(x, re.compile(_KINDS[x])) for x in list(_KINDS)[i + 1 :]] for i, k in enumerate(_KINDS)}
+_BORDER = re.compile(r"[ -]")
 _ANY = re.compile(r"\d|@|(?:token|password|passwd|secret|api_?key) ?[=:]").search
 KINDS = ("email", "secret", "iban", "ip", "date", "ssn", "card", "phone")
 
@@ -160,7 +164,7 @@ class Pseudonyms:
     def _card(self, t: str):
         d = "".join(c for c in t if c.isdigit())
         if not 13 <= len(d) <= 19 or d[0] == "0" or _luhn(d):
-            return self._phone(t) if len(d) < 13 else None
+            return None
         new = d[0] + f"{self.permute(int(d[1:-1]), 10 ** (len(d) - 2), f'card{len(d)}'):0{len(d) - 2}d}"
         return "card", self._with_digits(t, new + str(_luhn(new + "0") and 10 - _luhn(new + "0")))
 
@@ -180,14 +184,27 @@ class Pseudonyms:
         if not _ANY(text):
             return text, counts
 
-        def put(m: re.Match) -> str:
-            got = self.of(m.lastgroup, m[0])
+        out, done, at = [], 0, 0
+        while m := _FINDS.search(text, at):
+            got = self._valid(m.lastgroup, m[0])
             if not got:
-                return m[0]
-            counts[got[0]] = counts.get(got[0], 0) + 1
-            return got[1]
-
-        return _FINDS.sub(put, text), counts
+                later = ((k, n) for k, p in _AFTER[m.lastgroup] if (n := p.match(text, m.start())))
+                got = next((g for k, n in later if (g := self._valid(k, n[0]))), None)
+            if not got:
+                at = m.start() + 1
+                continue
+            (kind, new), size = got
+            out += text[done : m.start()], new
+            done = at = m.start() + size
+            counts[kind] = counts.get(kind, 0) + 1
+        return "".join(out) + text[done:], counts
+
+    def _valid(self, kind: str, found: str) -> tuple[tuple[str, str], int] | None:
+        """What the find becomes and how much of it; numbers that run into others are tried up to each border, the longest first."""
+        ends = [len(found)]
+        if kind in ("card", "iban"):
+            ends += [b.start() for b in _BORDER.finditer(found)][::-1]
+        return next(((got, n) for n in ends if (got := self.of(kind, found[:n]))), None)
 
 
 def _luhn(digits: str) -> int:

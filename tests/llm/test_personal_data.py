@@ -1,0 +1,33 @@
+"""Personal data next to other numbers and in further formats."""
+
+import re
+
+import pytest
+
+from passages.llm import pii
+
+
+def new(text):
+    return pii.Pseudonyms(b"k").text(text)
+
+
+@pytest.mark.parametrize("text", ["4111111111111111 12/27", "4111 1111 1111 1111 123", "4111111111111111-12/27", "17 4111 1111 1111 1111", "pay 4111 1111 1111 1111 12/27 123 now"])
+def test_cards_next_to_other_numbers(text):
+    got, counts = new(text)
+    card = r"4\d{3} ?\d{4} ?\d{4} ?\d{4}"
+    assert counts == {"card": 1}
+    old, own = re.search(card, text), re.search(card, got)
+    assert own[0] != old[0] and pii._luhn(own[0].replace(" ", "")) == 0 and own.span() == old.span()
+    assert (got[: own.start()], got[own.end() :]) == (text[: old.start()], text[old.end() :])
+
+
+def test_phones_and_accounts_next_to_other_numbers():
+    got, counts = new("212-555-0187 2024")
+    assert counts == {"phone": 1} and re.fullmatch(r"[2-9]\d\d-[2-9]\d\d-\d{4} 2024", got) and not got.startswith("212-555-0187")
+    got, counts = new("GB82 WEST 1234 5698 7654 32 of 2024; DE89 3704 0044 0532 0130 00 2024 PAID")
+    assert counts == {"iban": 2} and got.endswith(" 2024 PAID") and "3704 0044" not in got
+
+
+def test_failed_finds_stay():
+    for text in ("4111 1111 1111 1112", "1987-02-30", "1.2.3.400", "GB82 WEST 1234 5698 7654 33"):
+        assert new(text) == (text, {})
