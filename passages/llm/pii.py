@@ -4,11 +4,11 @@ Validated finds are permuted by a keyed Feistel network within the set of values
 again a valid value of that format and equal values get equal pseudonyms in all documents:
 
 - card numbers (Luhn): the digits after the first, with a new check digit;
-- North American phone numbers: area code, exchange and line;
-- dates (ISO, day.month.year, month/day/year) from 1900 to 2099: the day;
+- North American phone numbers: area code, exchange and line; other numbers after + and a country code: all digits after it;
+- dates (ISO, day.month.year, month/day/year and, where that is no date, day/month/year) from 1900 to 2099: the day;
 - IPv4 addresses: the address;  e-mail addresses: letters by letters, digits by digits, the top-level domain kept;
 - IBANs (mod 97): the account part, with new check digits;  US social security numbers;
-- secrets (access keys, tokens and passwords after their name): letters by letters, digits by digits.
+- secrets (access keys, tokens and passwords after their name in any case): letters by letters, digits by digits.
 
 A network walks a power of four at least as large as the set until it is back inside ("cycle walking"), which makes it a
 permutation of the set.
@@ -33,7 +33,7 @@ _DIGIT, _LOWER, _UPPER, _HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCD
 
 _KINDS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "secret": r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|(?:(?<=token = \")|(?<=token=)|(?<=password=)|(?<=password: )|(?<=passwd=)|(?<=secret=)|(?<=api_key=)|(?<=apikey=)|(?<=secret = \")|(?<=password = \")|(?<=api_key = \"))[A-Za-z0-9_\-]{8,}",
+    "secret": r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|(?:(?<=(?i:token = \"))|(?<=(?i:token=))|(?<=(?i:password=))|(?<=(?i:password: ))|(?<=(?i:passwd=))|(?<=(?i:secret=))|(?<=(?i:api_key=))|(?<=(?i:apikey=))|(?<=(?i:secret = \"))|(?<=(?i:password = \"))|(?<=(?i:api_key = \")))[A-Za-z0-9_\-]{8,}",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ip": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)",
     "iso": r"(?<![\d-])\d{4}-\d{2}-\d{2}(?![\d-])",
@@ -41,13 +41,16 @@ _KINDS = {
     "eu": r"(?<![\d.])\d{1,2}\.\d{1,2}\.\d{4}(?!\.?\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-])",
+    "abroad": r"(?<![\d+])\+(?:1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}|[2-9](?:[ ./-]?\(?\d\)?){7,14})(?!\d)",
     "phone": r"(?<![\d+])(?:\+?1[ .-]?)?\(?[2-9]\d{2}\)?[ .-]?[2-9]\d{2}[ .-]?\d{4}(?!\d)",
 }
 _FINDS = re.compile("|".join(f"(?P<{k}>{p})" for k, p in _KINDS.items()))
 #: The kinds that are tried where one was found but is not valid.
 _AFTER = {k: [(x, re.compile(_KINDS[x])) for x in list(_KINDS)[i + 1 :]] for i, k in enumerate(_KINDS)}
 _BORDER = re.compile(r"[ -]")
-_ANY = re.compile(r"\d|@|(?:token|password|passwd|secret|api_?key) ?[=:]").search
+_ANY = re.compile(r"\d|@|(?i:token|password|passwd|secret|api_?key) ?[=:]").search
+#: Country codes of one and two digits; the others have three.
+_COUNTRIES = {"1", "7", *"20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()}
 KINDS = ("email", "secret", "iban", "ip", "date", "ssn", "card", "phone")
 
 
@@ -119,6 +122,8 @@ class Pseudonyms:
             return "secret", t[:4] + self._chars(t[4:], "access key")
         if not any(c.isdigit() for c in t):
             return None
+        if set(t) <= set(_HEX.upper()):
+            return "secret", self._chars(t, "secret", (_HEX.upper(),))
         return "secret", self._chars(t, "secret", (_HEX, "ABCDEF")) if set(t) <= set(_HEX) else self._chars(t, "secret")
 
     def _iban(self, t: str):
@@ -143,6 +148,11 @@ class Pseudonyms:
 
     def _us(self, t: str):
         m, d, y = t.split("/")
+        if int(m) > 12:  # day/month: to another date that cannot be month/day
+            new = self._date(int(y), int(d), int(m))
+            while new and new.day <= 12:
+                new = self._date(new.year, new.month, new.day)
+            return new and ("date", f"{new.day:0{len(m)}d}/{new.month:0{len(d)}d}/{new.year}")
         new = self._date(int(y), int(m), int(d))
         return new and ("date", f"{new.month:0{len(m)}d}/{new.day:0{len(d)}d}/{new.year}")
 
@@ -178,6 +188,17 @@ class Pseudonyms:
         area, exchange = divmod(x, 800)
         return "phone", self._with_digits(t, f"{d[:-10]}{area + 200}{exchange + 200}{line:04d}")
 
+    def _abroad(self, t: str):
+        d = "".join(c for c in t if c.isdigit())
+        if national := d[0] == "1" and self._phone(t):
+            return national
+        code = next((c for c in (d[:1], d[:2]) if c in _COUNTRIES), d[:3])
+        own = d[len(code) :]
+        while True:  # a number after +1 that no area has, to another such
+            own = f"{self.permute(int(own), 10 ** len(own), f'phone{code}'):0{len(own)}d}"
+            if code != "1" or own[0] in "01" or own[3] in "01":
+                return "phone", self._with_digits(t, code + own)
+
     def text(self, text: str) -> tuple[str, dict[str, int]]:
         """The text with pseudonyms, and how many of each kind it has."""
         counts: dict[str, int] = {}

@@ -31,3 +31,29 @@ def test_phones_and_accounts_next_to_other_numbers():
 def test_failed_finds_stay():
     for text in ("4111 1111 1111 1112", "1987-02-30", "1.2.3.400", "GB82 WEST 1234 5698 7654 33"):
         assert new(text) == (text, {})
+
+
+@pytest.mark.parametrize("text", ["+1 (017) 555-7713", "+1 217 155 7713", "+49 30 1234567", "+353 1 234 5678", "+33 1 23 45 67 89", "+442079460958"])
+def test_phones_of_any_area_and_country(text):
+    got, counts = new(f"call {text}, please")
+    shape = lambda t: re.sub(r"\d", "0", t)
+    assert counts == {"phone": 1} and got != f"call {text}, please" and shape(got) == shape(f"call {text}, please")
+    assert got[:7] == f"call {text}"[:7]
+
+
+def test_numbers_after_one_stay_apart():
+    own = [f"+1 {a}-{b}-0000" for a in ("017", "217", "999") for b in range(100, 1000)]
+    assert len({new(t)[0] for t in own}) == len(own)
+
+
+@pytest.mark.parametrize("name", ['TOKEN = "', "Password: ", "API_KEY=", "Secret="])
+def test_secret_names_in_any_case(name):
+    got, counts = new(name + "9233A8EC10FF77AB")
+    assert counts == {"secret": 1} and got.startswith(name) and re.fullmatch("[0-9A-F]{16}", got[len(name) :]) and not got.endswith("9233A8EC10FF77AB")
+
+
+def test_slash_dates_with_the_day_first():
+    own = [f"{d}/{m:02d}/{y}" for d in range(13, 29) for m in range(1, 13) for y in (1999, 2020)]
+    got = [new(t)[0] for t in own]
+    assert len(set(got)) == len(own) and all(re.fullmatch(r"(1[3-9]|2\d|3[01])/(0[1-9]|1[0-2])/(19|20)\d\d", t) for t in got)
+    assert new("25/12/2020")[1] == {"date": 1} and new("31/02/2020") == ("31/02/2020", {})
