@@ -114,7 +114,10 @@ def quality_rules(docs: DataFrame, most_lost: float = MOST_LOST) -> DataFrame:
 
 
 def clean_lines(docs: DataFrame, most_lost: float = MOST_LOST) -> DataFrame:
-    """docs without the rows that the rules reject; all columns stay as they are."""
+    """docs without the rows that the rules reject and, in the others' text, without the lines that fail.
+
+    Lines without a word stay.  n_chars, where there is one, is the new text's length; the other columns stay as they are.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
 
@@ -122,7 +125,10 @@ def clean_lines(docs: DataFrame, most_lost: float = MOST_LOST) -> DataFrame:
         n = F.size(own)
         return F.when(n < LEAST_WORDS, F.lit(False)).otherwise(100 * repeated_window_words(own, n) <= MOST_REPEATED * n)
 
-    return docs.where(let(words(text), unrepeated) & ~let(lines, lambda x: _lines_lost(x, most_lost)))
+    kept = docs.where(let(words(text), unrepeated) & ~let(lines, lambda x: _lines_lost(x, most_lost)))
+    left = F.filter(F.split("text", "\n"), lambda x: ~x.rlike(r"[^\x20\x09-\x0D]") | line_is_kept(x))
+    out = kept.withColumn("text", F.array_join(left, "\n"))
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def cleaned_text(docs: DataFrame) -> DataFrame:
