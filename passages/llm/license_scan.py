@@ -2,8 +2,8 @@
 
 Each licence template is a word sequence with mandatory key phrases.  The index holds, for every template, its words of
 highest inverse document frequency over the templates with their positions.  A text is split into words once; each
-occurrence of an indexed rare word proposes the starts ``position - offset`` of its templates.  A start that enough of
-the template's rare words agree on, and whose key phrases stand where the template has them, is a match.
+occurrence of a template's rarest word proposes the start ``position - offset``.  A start that all of the template's rare
+words agree on, in and out of the key phrases, and whose key phrases stand where the template has them, is a match.
 """
 
 from __future__ import annotations
@@ -41,8 +41,19 @@ HALF = 1.0
 _SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
+def template_index(templates: dict[str, tuple[str, tuple[str, ...]]] = TEMPLATES, rare: int = RARE_WORDS) -> list[tuple[str, list[tuple[str, int]], list[tuple[int, list[str]]]]]:
+    """For each template: label, its words of highest inverse document frequency (in and out of the phrases, the highest first, longer before shorter) with their positions, and its key phrases with theirs."""
+    in_templates = Counter(w for t, _ in templates.values() for w in set(t.split()))
+    out = []
+    for label, _, keys in rare_index(templates, rare):
+        ws = templates[label][0].split()
+        order = sorted(range(len(ws)), key=lambda i: (in_templates[ws[i]], -len(ws[i]), i))
+        out.append((label, [(ws[i], i) for i in order[:rare]], keys))
+    return out
+
+
 def rare_index(templates: dict[str, tuple[str, tuple[str, ...]]] = TEMPLATES, rare: int = RARE_WORDS) -> list[tuple[str, list[tuple[str, int]], list[tuple[int, list[str]]]]]:
-    """For each template: label, its rarest words with their positions in it, and its key phrases with theirs."""
+    """For each template: label, the rarest words of its key phrases with their positions in it, and its key phrases with theirs; the SQL is made of these."""
     split = {k: t.split() for k, (t, _) in templates.items()}
     in_templates = Counter(w for ws in split.values() for w in set(ws))
     idf = {w: math.log(len(split) / n) for w, n in in_templates.items()}
@@ -79,10 +90,10 @@ def license_scan(docs: DataFrame, base: dict[str, str] = BASE, templates: dict[s
     text = F.translate(F.coalesce(F.col("text"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("_low"))
     phrases = {tuple(p.split()): label for p, label in base.items()}
-    index = rare_index(templates)
+    index = template_index(templates)
     anchors: dict[str, list[tuple[int, str, list[tuple[int, list[str]]], list[tuple[str, int]]]]] = {}
     for label, rare, keys in index:
-        word, at = max(rare, key=lambda r: (len(r[0]), r[1]))
+        word, at = rare[0]
         anchors.setdefault(word, []).append((at, label, keys, rare))
     first_words = {p[0] for p in phrases}
     looked_up = sorted(first_words | set(anchors))
