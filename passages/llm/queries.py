@@ -65,28 +65,32 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def _sql_op2() -> str:
-    """The template labels by plain consecutive-word search, which the index must agree with."""
+    """Base phrases by consecutive-word search; templates from their full texts: rarity, agreement on a start and key phrases are worked out in SQL."""
     base = license_scan.BASE
+    text = lambda x: "'" + x.replace("'", "''") + "'"
     places = " union all ".join(f"select d.doc_id, d.i - 1 as pos, '{label}' as label from p d where " + " and ".join(f"d.w[d.i + {j}] = '{x}'" for j, x in enumerate(p.split())) for p, label in base.items())
-    more = " union all ".join(_template_sql(label, rare, keys) for label, rare, keys in license_scan.rare_index())
+    templates = ", ".join(f"({text(label)}, {text(words)})" for label, (words, _) in license_scan.TEMPLATES.items())
+    phrases = ", ".join(f"({text(label)}, {text(p)})" for label, (_, own) in license_scan.TEMPLATES.items() for p in own)
     return rf"""
-with t as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from documents),
-p as (select doc_id, w, unnest(range(1, len(w) + 1)) as i from t),
+with t as (select row_number() over () as r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from documents),
+p as (select r as doc_id, w, unnest(range(1, len(w) + 1)) as i from t),
+x as (select doc_id, i - 1 as pos, w[i] as word from p),
+tw as (select label, u.i - 1 as spot, string_split(words, ' ')[u.i] as word from (values {templates}) v(label, words), unnest(range(1, len(string_split(words, ' ')) + 1)) as u(i)),
+df as (select word, count(distinct label) as n from tw group by word),
+rare as (select label, spot, word from (select tw.*, row_number() over (partition by label order by n, length(word) desc, spot) as k from tw join df using (word)) where k <= {license_scan.RARE_WORDS}),
+need as (select label, count(*) as n from rare group by label),
+starts as (select x.doc_id, rare.label, x.pos - rare.spot as pos, count(*) as n from x join rare using (word) group by all),
+phrase as (select label, string_split(phrase, ' ') as ws from (values {phrases}) v(label, phrase)),
+texts as (select label, list(word order by spot) as ws from tw group by label),
+placed as (select phrase.label, phrase.ws, min(u.i) - 1 as spot from phrase join texts using (label), unnest(range(1, len(texts.ws) + 1)) as u(i) where texts.ws[u.i:u.i + len(phrase.ws) - 1] = phrase.ws group by all),
+more as (select s.doc_id, s.pos, s.label from starts s join need using (label) join t on t.r = s.doc_id where s.n = need.n
+ and not exists (select 1 from placed where placed.label = s.label and (s.pos + placed.spot < 0 or t.w[s.pos + placed.spot + 1:s.pos + placed.spot + len(placed.ws)] <> placed.ws))),
 base as ({places}),
-more as ({more}),
 b as (select doc_id, count(*) as n, min(pos) as f, max(pos) as l, string_agg(distinct label, ',' order by label) as labels from base group by doc_id),
 a as (select doc_id, count(*) as n, string_agg(distinct label, ',' order by label) as labels from (select * from base union all select * from more) group by doc_id)
 select t.doc_id, cast(len(t.w) as bigint) as n_words, cast(coalesce(b.n, 0) as bigint) as n_base, cast(b.f as bigint) as first_word, cast(b.l as bigint) as last_word,
  coalesce(b.labels, '') as base_labels, coalesce(a.labels, '') as labels, cast(coalesce(a.n, 0) as double) / (coalesce(a.n, 0) + {license_scan.HALF}) as score
-from t left join b using (doc_id) left join a using (doc_id)"""
-
-
-def _template_sql(label: str, rare: list, keys: list) -> str:
-    """Starts where the template's rare words and key phrases stand."""
-    word, at = max(rare, key=lambda r: (len(r[0]), r[1]))
-    tests = {at: word} | dict((i, w) for w, i in rare) | {i + j: x for i, p in keys for j, x in enumerate(p)}
-    low = min(tests)
-    return f"select doc_id, i - 1 - {low} as pos, '{label}' as label from p where " + " and ".join(f"w[i + {k - low}] = '{x}'" for k, x in sorted(tests.items()))
+from t left join b on b.doc_id = t.r left join a on a.doc_id = t.r"""
 
 
 def _sql_op9() -> str:
