@@ -13,7 +13,10 @@ from passages.ship import ship
 
 #: ASCII white space; the word rule of most contracts is "everything else".
 SPACES = " \t\n\x0b\x0c\r"
-_FLAT = {ord(c): " " for c in SPACES[1:]}
+#: Row groups of written tables: what a task that writes holds before it is compressed.
+ROW_GROUP_BYTES = 16 << 20
+#: Rows of a few numbers that are sent to every executor at most.
+BROADCAST_ROWS = 1_000_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,28 +55,46 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, value: int, mo
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where it names none (tests), one of our own."""
+    """The folder that the cluster names in spark.checkpoint.dir; a session on one machine that names none gets one of its own."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="passages-"))
         named = spark.sparkContext.getCheckpointDir()
     return named.rstrip("/")
 
 
+def _hadoop_path(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def cut(df: DataFrame) -> tuple[DataFrame, str]:
-    """Write df to the shared folder and read it back: a short lineage that outlives executors."""
+    """Write df to the shared folder and read it back: a short lineage that outlives executors.
+
+    What is not dropped before goes when the application ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
+    where, files = _hadoop_path(spark, path)
+    files.deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path), path
 
 
 def drop_cut(spark: SparkSession, *paths: str) -> None:
     for path in paths:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        where, files = _hadoop_path(spark, path)
+        files.delete(where, True)
+
+
+def small(df: DataFrame, most: int | None = None) -> DataFrame:
+    """df, to be broadcast if it has at most ``most`` rows.  df should be a written table of a few numbers a row."""
+    most = BROADCAST_ROWS if most is None else most
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def flat(text: str) -> str:
