@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,6 +98,17 @@ def small(df: DataFrame, most: int | None = None) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def give_back() -> None:
+    """Return freed memory to the system; a Python worker lives on for later stages."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not on this platform
+        pass
+
+
 def flat(text: str) -> str:
     """The text with every ASCII white space turned into a blank."""
     for c in SPACES[1:]:

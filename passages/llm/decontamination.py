@@ -6,28 +6,30 @@ fingerprint is looked up among the items' in a multi-index: of four 16-bit block
 the radius, so the blocks' neighbourhoods hold every fingerprint within the radius.  Candidates are verified by the exact
 weighted similarity of their shingle multisets, sum of minima over sum of maxima.
 
-Two texts of similarity 0.8 differ by 10 of 64 bits on average (deviation 3); the radius of 24 is where the guarantee of
-the blocks ends and lies nearly five deviations away.  The items go to the executors in blocks of bounded size; a
-benchmark beyond one block takes more passes over the documents.
+Two texts of similarity 0.8 differ by 10 of 64 bits on average (deviation 3).  The radius of 19 lies three deviations away
+and is the largest that neighbourhoods of four bits a block guarantee; one item in seven passes them by chance.  The items
+go to the executors in blocks of bounded size, each built once in a Python worker; a benchmark beyond one block takes more
+passes over the documents.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passages.llm.common import bounded_batches, groups_by_size, id_and_text
+from passages.llm.common import bounded_batches, give_back, groups_by_size, id_and_text
 
 SHINGLE = 5
 LEAST = 0.8
-RADIUS = 24
+RADIUS = 19
 #: Characters of items that one pass sends to every executor.
 BLOCK_CHARS = 16 << 20
 _WORDS = re.compile(r"[^\W_]+").findall
@@ -217,6 +219,34 @@ def _blocks(items: DataFrame, most: int) -> Iterator[list[tuple[int, str]]]:
         yield held
 
 
+_BUILT: dict[tuple, Benchmark] = {}
+
+
+def _built(sent, least: float, radius: int) -> Benchmark:
+    """The block's index, built once in a Python worker; the last two are kept."""
+    key = (sent.id, least, radius)
+    if key not in _BUILT:
+        while len(_BUILT) > 1:
+            _BUILT.pop(next(iter(_BUILT)))
+        _BUILT[key] = Benchmark(sent.value, least=least, radius=radius)
+    return _BUILT[key]
+
+
+class _Sent:
+    """A broadcast block of items with a name of its own."""
+
+    def __init__(self, spark: SparkSession, block: list[tuple[int, str]]):
+        self.id, self._sent = uuid.uuid4().hex, spark.sparkContext.broadcast(block)
+
+    @property
+    def value(self) -> list[tuple[int, str]]:
+        return self._sent.value
+
+
+def _item_rows(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, radius: int = RADIUS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, item_id, first_word, n_words, similarity: the best window (the first of equals) for each document and item.
 
@@ -227,11 +257,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, ra
     spark = docs.sparkSession
     bounded_batches(spark)
     schema, own, out = "doc_id long, item_id long, first_word long, n_words long, similarity double", id_and_text(docs), None
-    for block in _blocks(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text"), block_chars):
-        sent = spark.sparkContext.broadcast(block)
+    for block in _blocks(_item_rows(benchmark), block_chars):
+        sent = _Sent(spark, block)
 
         def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            items = Benchmark(sent.value, least=least, radius=radius)
+            items = _built(sent, least, radius)
             for batch in batches:
                 ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
                 some = [a + k for a, z in groups_by_size(texts) for k in items.suspects(texts[a:z])] if items.ids else []
@@ -244,7 +274,30 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, ra
     return spark.createDataFrame([], schema) if out is None else out
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
-    """docs without the documents that hold a benchmark item.  Rows with a null doc_id cannot be told apart and stay."""
-    hit = contaminated(docs.select("doc_id", "text"), benchmark, least).select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti")
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, radius: int = RADIUS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """docs without the rows that hold a benchmark item.
+
+    Each row is judged by its own text, whatever its doc_id: rows with a null doc_id or one that others have too go or
+    stay by themselves.  Null and empty texts stay; empty tables give no rows or drop none.  Rows stay where they are:
+    there is no shuffle.
+    """
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    at, out = docs.columns.index("text"), docs
+    for block in _blocks(_item_rows(benchmark), block_chars):
+        sent = _Sent(spark, block)
+
+        def keep(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            items = _built(sent, least, radius)
+            for batch in batches:
+                texts = [t or "" for t in batch.column(at).to_pylist()]
+                clean = np.ones(len(texts), bool)
+                if items.ids:
+                    for a, z in groups_by_size(texts):
+                        for k in items.suspects(texts[a:z]):
+                            clean[a + k] = not items.matches(texts[a + k])
+                yield batch.filter(pa.array(clean))
+            give_back()
+
+        out = out.mapInArrow(keep, docs.schema)
+    return out

@@ -28,12 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from passages.llm.common import bounded_batches, cut, drop_cut, id_and_text
+from passages.llm.common import bounded_batches, cut, drop_cut, give_back, id_and_text
 
 CAPACITY = 4096
 END_ID = 1
 #: Pieces of one length that are ranked by one task.
 BUCKET_ROWS = 50_000
+#: Characters of a text that are split into words at a time.
+PART_CHARS = 1 << 20
 
 
 class WordTokenizer:
@@ -46,7 +48,7 @@ class WordTokenizer:
 
     _PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 150_000):
         import regex
         from tokenizers import Tokenizer
 
@@ -82,7 +84,18 @@ class WordTokenizer:
         return b"".join(map(self._part, self.parts(low)))
 
     def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
+        """Little-endian unsigned 32-bit ids.  Long texts go in parts that end before a blank."""
+        if len(text) <= PART_CHARS:
+            return self._encode(text)
+        out, at = [], 0
+        while at < len(text):
+            end = text.find(" ", at + PART_CHARS)
+            end = len(text) if end < 0 else end
+            out.append(self._encode(text[at:end]))
+            at = end + 1
+        return b"".join(out)
+
+    def _encode(self, text: str) -> bytes:
         if len(self.words) > self.most:
             self.words = {"": b""}
         if len(self.bits) > self.most:
@@ -119,13 +132,14 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
                 ids = tok.encode(text) + end
                 for at in range(0, len(ids), step):
                     part = ids[at : at + step]
-                    out.append((doc_id, at // step, at // 4, len(part) // 4, zlib.crc32(part), part))
+                    out.append((doc_id, at // step, at // 4, len(part) // 4, zlib.crc32(part), part if with_ids else None))
             cols = [*zip(*out, strict=True)] or [()] * 6
             arrays = [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[2:5])]
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
             if with_ids:
                 arrays, names = [*arrays, pa.array(cols[5], pa.binary())], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
+        give_back()
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
     return id_and_text(docs).mapInArrow(pieces, schema)

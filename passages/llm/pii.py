@@ -29,7 +29,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from passages.llm.common import bounded_batches
+from passages.llm.common import bounded_batches, give_back
 
 ROUNDS = 8
 #: Characters that one network permutes together.
@@ -410,6 +410,7 @@ def with_pseudonyms(docs: DataFrame, key: bytes | None = None) -> DataFrame:
             if length >= 0:
                 arrays[length] = pa.array([None if t is None else len(t) for t in texts], batch.schema.field(length).type)
             yield pa.RecordBatch.from_arrays(arrays, names=names)
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -90,16 +90,17 @@ def test_stage_of_odd_tables(spark, tmp_path, stage, empty):
         assert got.columns == df.columns
 
 
-def test_pipeline_is_its_stages_one_after_another(spark, tmp_path):
+def test_pipeline_is_its_stages_one_after_another(spark):
+    """The quality stage's texts (test_kept_lines has its own test), then every further stage by brute force."""
     folder = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{folder}/documents.parquet")
-    kept = {r["doc_id"]: r["text"] for r in docs.join(quality_rules.quality_rules(docs).where("kept").select("doc_id"), "doc_id").collect()}
-    from tests.llm.test_operators import check_packing, slow_components, slow_fingerprint, slow_matches
+    kept = {r["doc_id"]: r["text"] for r in corpus_pipeline.rules(spark, docs, folder).collect()}
+    from tests.llm.test_near_copies import kept_by_all_pairs
+    from tests.llm.test_operators import check_packing, slow_matches
 
-    group = slow_components({i: slow_fingerprint(t) for i, t in kept.items()})
-    kept = {i: t for i, t in kept.items() if group[i] == i}
+    first = kept_by_all_pairs(kept)
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
-    kept = {i: t for i, t in kept.items() if not slow_matches(t, items)}
+    kept = {i: t for i, t in kept.items() if i in first and not slow_matches(t, items)}
     from tokenizers import Tokenizer
 
     tok, own = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json")), pii.Pseudonyms(pii.DEFAULT_KEY)
