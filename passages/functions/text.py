@@ -19,6 +19,27 @@ def let(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), f), 0)
 
 
+def scan(values: Column, start: Column, step: Callable[[Column, Column], Column], out: Callable[[Column, Column], Column], kind: str, part: int = 256) -> Column:
+    """``out(state, x)`` for each element in order, where ``step(state, x)`` makes the next state; ``kind`` is the SQL type of what out gives.
+
+    Results are held in parts, since appending to one array would copy it for each element.
+    """
+    none = F.array().cast(f"array<{kind}>")
+    begin = F.struct(start.alias("state"), none.alias("held"), F.array().cast(f"array<array<{kind}>>").alias("done"))
+
+    def add(acc: Column, x: Column) -> Column:
+        own, full = out(acc["state"], x).cast(kind), F.size(acc["held"]) >= part
+        held = F.when(full, F.array(own)).otherwise(F.array_append(acc["held"], own))
+        return F.struct(step(acc["state"], x).alias("state"), held.alias("held"), F.when(full, F.array_append(acc["done"], acc["held"])).otherwise(acc["done"]).alias("done"))
+
+    return F.aggregate(values, begin, add, lambda acc: F.flatten(F.array_append(acc["done"], acc["held"])))
+
+
+def running_total(numbers: Column) -> Column:
+    """The sum of each number and those before it."""
+    return scan(numbers.cast("array<bigint>"), F.lit(0).cast("long"), lambda total, x: total + x, lambda total, x: total + x, "bigint")
+
+
 def split_sentences(text: Column) -> Column:
     """Sentences end with . ! or ? and white space."""
     return F.split(F.regexp_replace(text, r"([.!?])\s+", "$1\x01"), "\x01")
@@ -28,6 +49,11 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
 
 
+def split_words(text: Column) -> Column:
+    """Pieces between runs of white space of any kind."""
+    return F.filter(F.split(text, r"[\s\x1c-\x1f\x85\p{Z}]+"), lambda w: w != "")
+
+
 def without_tokens(text: Column) -> Column:
     for token in SPECIAL_TOKENS:
         text = F.replace(text, F.lit(token), F.lit(""))
@@ -61,7 +87,7 @@ def section_sentences(text: Column) -> Column:
     """The chain for a section: sentences, list and colon splits, long ones at line ends; line ends become blanks."""
     out = F.flatten(F.transform(split_sentences(text), split_list_sentence))
     out = F.flatten(F.transform(out, split_colon_lines))
-    out = F.flatten(F.transform(out, split_long))
+    out = F.flatten(F.transform(out, lambda s: split_long(s)))  # a function of two parameters would get the index
     return F.transform(out, lambda s: F.replace(s, F.lit("\n"), F.lit(" ")))
 
 
@@ -108,6 +134,26 @@ def split_sections(text: Column, low_granularity: bool = False) -> Column:
     return F.split(text, rf"{SEPARATOR},\d,.*?\.")
 
 
+def without_preface(sections: Column) -> Column:
+    """The sections with something in them, without what stands before the first separator and without the preface."""
+    return F.filter(F.slice(sections, 3, 1 << 30), lambda x: F.regexp_replace(x, "^[\n ]+$", "") != "")
+
+
+def with_separators(text: Column, old: str = "=" * 10, new: str = "*" * 44) -> Column:
+    """Segment separators rewritten as another tool wants them."""
+    return F.replace(text, F.lit(old), F.lit(new))
+
+
+def sentence_count(text: Column) -> Column:
+    """Sentences with a word."""
+    return F.size(F.filter(split_sentences(text), lambda x: F.size(words(x)) > 0))
+
+
+def one_line(html: Column) -> Column:
+    """Text of a context: no tag, runs of white space are one blank."""
+    return F.regexp_replace(F.regexp_replace(html, r"<[^>]*>", ""), r"\s+", " ")
+
+
 def normal_title(title: Column) -> Column:
     """Underscores and runs of blanks are one blank; the first letter is a capital."""
     own = F.trim(F.regexp_replace(title, r"[\s_]+", " "))

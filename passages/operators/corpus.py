@@ -2,23 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from passages.functions.text import CODE_TOKEN, FORMULA_TOKEN, LIST_TOKEN, occurrences, stable_hash, words
+from passages.functions.text import CODE_TOKEN, FORMULA_TOKEN, LIST_TOKEN, let, occurrences, scan, stable_hash, words
+from passages.operators.ranks import with_total_before
 
 # Reserved title prefixes and the thresholds of the filters.
-NAMESPACES = ("category", "file", "image", "template", "wikipedia", "help", "portal", "book", "draft", "education program", "timedtext", "module", "gadget", "mediawiki", "user", "talk", "special", "media", "topic")
+NAMESPACES = (
+    "Category", "File", "Ru", "Wikipedia", "Talk", "User", "MediaWiki", "Template", "Help", "Portal", "Book", "Draft",
+    "Education Program", "TimedText", "Module", "Gadget", "Gadget definition", "Media", "Special",
+)
+DISAMBIGUATION = "(disambiguation)"
 MIN_LETTERS, MIN_SENTENCES, MAX_FORMULAS, MAX_CODES, MIN_SECTIONS, MIN_WORDS, MIN_VALID_RATIO, MAX_LIST_RATIO = 20, 2, 3, 2, 3, 2, 0.2, 0.5
 
 
 def title_is_article(title: Column) -> Column:
-    """Not all digits, not in a reserved namespace, no disambiguation page."""
-    low = F.lower(title)
-    reserved = F.lit(False)
-    for name in NAMESPACES:
-        reserved = reserved | F.startswith(low, F.lit(name + ":"))
-    return ~(title.rlike("^[0-9]+$") | reserved | F.endswith(low, F.lit("(disambiguation)")))
+    """Not all digits, not in a reserved namespace, no disambiguation page; letter case counts."""
+    reserved = F.substring_index(title, ":", 1).isin(*NAMESPACES) & F.contains(title, F.lit(":"))
+    return ~(title.rlike("^[0-9]+$") | reserved | F.endswith(title, F.lit(DISAMBIGUATION)))
+
+
+def header_info(header: Column) -> Column:
+    """Struct of id and title of an article block's header line."""
+    return F.struct(F.regexp_extract(header, r'<doc id="(\d+)" url', 1).cast("long").alias("id"), F.regexp_extract(header, r'title="(.*)">', 1).alias("title"))
 
 
 def body_lines(block: Column) -> Column:
@@ -70,16 +79,37 @@ def valid_articles(sections: DataFrame) -> DataFrame:
     return counts.withColumn("is_valid", (F.col("valid") >= MIN_SECTIONS) & (F.col("valid") >= MIN_VALID_RATIO * F.col("sections")))
 
 
-def pruned_headers(lines: Column) -> Column:
-    """Array of (level, text), level null for content: headers with no content before the next of their level or above go."""
-    later = lambda i: F.slice(lines, i + 2, F.size(lines))
+def line_runs(lines: Column, starts: Callable[[Column], Column]) -> Column:
+    """Array of (run, first_line, lines): runs of lines that begin where ``starts`` holds; run 0 is what stands before the first of them."""
+    places = F.filter(F.transform(lines, lambda x, i: F.when(starts(x), i)), lambda i: i.isNotNull())
+
+    def runs(p: Column) -> Column:
+        first = F.coalesce(F.get(p, 0) == 0, F.lit(False))
+        edges = F.when(first, p).otherwise(F.concat(F.array(F.lit(0)), p))
+        return let(edges, lambda e: F.transform(e, lambda x, j: F.struct((j + first.cast("int")).alias("run"), x.alias("first_line"), (F.coalesce(F.get(e, j + 1), F.size(lines)) - x).alias("lines"))))
 
-    def survives(x: Column, i: Column) -> Column:
-        rest = later(i)
-        stop = F.coalesce(F.array_min(F.filter(F.transform(rest, lambda y, j: F.when(y["level"] <= x["level"], j)), lambda j: j.isNotNull())), F.size(rest))
-        return x["level"].isNull() | F.exists(F.slice(rest, 1, stop), lambda y: y["level"].isNull())
+    return F.when(F.size(lines) > 0, let(places, runs))
 
-    return F.filter(lines, survives)
+
+def pruned_headers(lines: Column) -> Column:
+    """Array of (level, text), level null for content: headers with no content before the next of their level or above go.
+
+    Read from the end, a header stays if its level is below that of every header between it and the next content.
+    """
+    far = F.lit(1 << 20)
+    lowest = lambda state, x: F.when(x["level"].isNull(), far).otherwise(F.least(state, x["level"]))
+    stays = scan(F.reverse(lines), F.lit(0), lowest, lambda state, x: F.coalesce(x["level"] < state, F.lit(True)), "boolean")
+    return let(F.reverse(stays), lambda k: F.filter(lines, lambda x, i: F.get(k, i)))
+
+
+def ranked_split(docs: DataFrame, by: str, train: float = 0.8, test: float = 0.1) -> DataFrame:
+    """docs with partition: the first by hash of each group's documents train, then test, the rest dev; shares hold to one document."""
+    keyed = docs.withColumn("_h", stable_hash(F.col("doc_id").cast("string")))
+    ranked = with_total_before(keyed, "_rank", ["_h", "doc_id"], [by])
+    sizes = docs.groupBy(by).agg(F.count("*").alias("_n"))
+    both = ranked.join(sizes.withColumnRenamed(by, "_by"), F.col(by).eqNullSafe(F.col("_by")))
+    share = F.when(F.col("_n") > 1, F.col("_rank") / (F.col("_n") - 1)).otherwise(0.0)
+    return both.withColumn("partition", F.when(share < train, "train").when(share < train + test, "test").otherwise("dev")).select(*docs.columns, "partition")
 
 
 def partition_of(doc_id: Column, forced_test: Column | None = None, train: int = 80, test: int = 10) -> Column:

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from passages.functions.text import stable_hash, words
+from passages.functions.text import let, one_line, scan, sentence_count, split_words, stable_hash, words
+from passages.operators.ranks import with_total_before
 from passages.ship import ship
 
 #: Vectors that one pass sends to every executor as queries.
@@ -19,31 +20,52 @@ QUERY_BLOCK = 4096
 def distinct_contexts(rows: DataFrame, title: str, context: str, order: str) -> DataFrame:
     """First row of each (title, context), with its place in the title."""
     first = rows.groupBy(title, context).agg(F.min(order).alias("row_no"))
-    place = F.row_number().over(Window.partitionBy(title).orderBy("row_no"))
-    return first.withColumn("place", place.cast("long"))
+    return with_total_before(first, "place", ["row_no"], [title]).withColumn("place", F.col("place") + 1)
 
 
-def assembled(rows: DataFrame, title: str, context: str, order: str, max_titles: int | None = None) -> DataFrame:
-    """doc_id (1..n by first appearance), title, content (distinct contexts by line), n_contexts, n_rows.
+def assembled(rows: DataFrame, title: str, context: str, order: str, max_titles: int | None = None, clean: bool = False) -> DataFrame:
+    """doc_id (1..n by first appearance), title, content (distinct contexts by line), n_contexts, n_rows, num_sentences.
 
-    ``max_titles`` keeps the titles that appear first.  Titles are few beside rows; their numbering is one small window.
+    ``max_titles`` keeps the titles that appear first.  ``clean`` takes tags and line ends out of the content.
     """
     contexts = rows.groupBy(title, context).agg(F.min(order).alias("at"), F.count("*").alias("n"))
-    docs = contexts.groupBy(title).agg(F.array_sort(F.collect_list(F.struct("at", context))).alias("c"), F.sum("n").alias("n_rows"), F.min("at").alias("first"))
-    docs = docs.withColumn("doc_id", F.row_number().over(Window.orderBy("first")).cast("long"))
-    out = docs.select("doc_id", F.col(title).alias("title"), F.array_join(F.transform("c", lambda x: x[context]), "\n").alias("content"), F.size("c").cast("long").alias("n_contexts"), "n_rows")
-    return out.where(F.col("doc_id") <= max_titles) if max_titles else out
+    firsts = with_total_before(rows.groupBy(title).agg(F.min(order).alias("first")), "doc_id", ["first"]).select(F.col(title).alias("_title"), (F.col("doc_id") + 1).alias("doc_id"))
+    if max_titles:
+        firsts = firsts.where(F.col("doc_id") <= max_titles)
+    docs = contexts.groupBy(title).agg(F.array_sort(F.collect_list(F.struct("at", context))).alias("c"), F.sum("n").alias("n_rows"))
+    docs = docs.join(firsts, F.col(title).eqNullSafe(F.col("_title")))
+    content = F.array_join(F.transform("c", lambda x: x[context]), "\n")
+    out = docs.select("doc_id", F.col(title).alias("title"), (one_line(content) if clean else content).alias("content"), F.size("c").cast("long").alias("n_contexts"), "n_rows")
+    return out.withColumn("num_sentences", sentence_count(F.col("content")).cast("long"))
 
 
 def one_per_title(rows: DataFrame, title: str, text: str, order: str, max_chars: int = 150_000) -> DataFrame:
     """The first row of each title whose text is not too long."""
     fit = rows.where(F.length(text) <= max_chars)
-    return fit.withColumn("_r", F.row_number().over(Window.partitionBy(title).orderBy(order))).where("_r = 1").drop("_r")
+    return fit.groupBy(title).agg(F.min_by(F.struct(*fit.columns), order).alias("r")).select("r.*")
 
 
-def fixed_chunks(docs: DataFrame, budget: int = 256, by_words: bool = False) -> DataFrame:
-    """doc_id, chunk_idx, chunk, n_words: greedy chunks that close once the words and their blanks reach ``budget`` characters."""
-    return _chunks(docs.select("doc_id", F.array(F.struct(F.coalesce(F.col("text"), F.lit("")).alias("t"), F.lit(0).alias("flag"))).alias("s")), budget, "word")
+def question_documents(rows: DataFrame, doc_id: str, order: str, question: Column, context: Column, answer: Column) -> DataFrame:
+    """id, qas (array of question, context, answers) of each document, in order."""
+    qa = F.struct(question.alias("question"), context.alias("context"), F.array(answer).alias("answers"))
+    own = rows.groupBy(F.col(doc_id).alias("id")).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), qa.alias("qa")))).alias("q"))
+    return own.select("id", F.transform("q", lambda x: x["qa"]).alias("qas"))
+
+
+def question_counts(docs: DataFrame) -> DataFrame:
+    """id, n_questions of question documents."""
+    return docs.select("id", F.size("qas").cast("long").alias("n_questions"))
+
+
+def fixed_chunks(docs: DataFrame, budget: int = 256) -> DataFrame:
+    """doc_id, chunk_idx, chunk, n_words, chunk_id: greedy chunks that close once the words and their blanks reach ``budget`` characters."""
+
+    def ends(w: Column) -> Column:
+        size = lambda held, x: held + F.length(x) + 1
+        return scan(w, F.lit(0), lambda held, x: F.when(size(held, x) >= budget, 0).otherwise(size(held, x)), lambda held, x: size(held, x) >= budget, "boolean")
+
+    own = docs.select("doc_id", split_words(F.coalesce(F.col("text"), F.lit(""))).alias("w"))
+    return _chunk_rows(own.select("doc_id", "w", let(F.col("w"), ends).alias("ends")))
 
 
 def segment_chunks(arrays: DataFrame, flags: str, budget: int = 256, level: str = "word") -> DataFrame:
@@ -51,57 +73,54 @@ def segment_chunks(arrays: DataFrame, flags: str, budget: int = 256, level: str
 
     level "sentence" tests the budget in characters after whole sentences; "word" keeps each chunk under ``budget`` words.
     """
-    rows = arrays.select("doc_id", F.zip_with("s", flags, lambda x, f: F.struct(x["text"].alias("t"), F.coalesce(f, F.lit(0)).alias("flag"))).alias("s"))
-    return _chunks(rows, budget, "sentence" if level == "sentence" else "token")
-
-
-def _chunks(rows: DataFrame, budget: int, mode: str) -> DataFrame:
-    """The folds are sequential within a document, so they run over Arrow batches."""
-    ship(rows.sparkSession)
-
-    def fold(parts: list[dict]) -> list[list[str]]:
-        out: list[list[str]] = []
-        held: list[str] = []
-        size = 0
-        for part in parts:
-            own = part["t"].split(" ") if mode == "word" else part["t"].split()
-            for w in own:
-                if mode == "word" and not w:
-                    continue
-                if mode == "token" and held and len(held) + 1 >= budget:
-                    out.append(held)
-                    held, size = [], 0
-                held.append(w)
-                size += len(w) + 1
-                if mode == "word" and size >= budget:
-                    out.append(held)
-                    held, size = [], 0
-            if held and mode != "word" and (part["flag"] == 1 or mode == "sentence" and size >= budget):
-                out.append(held)
-                held, size = [], 0
-        return out + [held] if held else out
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, n, text, count = [], [], [], []
-            for doc_id, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for i, c in enumerate(fold(parts or [])):
-                    ids.append(doc_id)
-                    n.append(i)
-                    text.append(" ".join(c))
-                    count.append(len(c))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(text, pa.string()), pa.array(count, pa.int64())], names=["doc_id", "chunk_idx", "chunk", "n_words"])
-
-    made = rows.select(F.col("doc_id").cast("long"), "s").mapInArrow(run, "doc_id long, chunk_idx long, chunk string, n_words long")
+    own = arrays.select("doc_id", F.zip_with("s", flags, lambda x, f: F.struct(split_words(F.coalesce(x["text"], F.lit(""))).alias("w"), (F.coalesce(f, F.lit(0)) == 1).alias("cut"))).alias("s"))
+    last = lambda w, i: i == F.size(w) - 1
+    if level == "sentence":
+        size = lambda held, x: held + F.aggregate(x["w"], F.lit(0), lambda a, w: a + F.length(w) + 1)
+        close = lambda held, x: x["cut"] | (size(held, x) >= budget)
+        closes = scan(F.col("s"), F.lit(0), lambda held, x: F.when(close(held, x), 0).otherwise(size(held, x)), close, "boolean")
+        ends = let(closes, lambda c: F.flatten(F.transform("s", lambda x, k: F.transform(x["w"], lambda w, i: last(x["w"], i) & F.get(c, k)))))
+        return _chunk_rows(own.select("doc_id", F.flatten(F.transform("s", lambda x: x["w"])).alias("w"), ends.alias("ends")))
+    own = own.select("doc_id", F.flatten(F.transform("s", lambda x: F.transform(x["w"], lambda w, i: F.struct(w.alias("w"), (last(x["w"], i) & x["cut"]).alias("cut"))))).alias("x"))
+    full = max(budget - 1, 1)
+    closes = scan(F.col("x"), F.lit(0), lambda held, x: F.when(x["cut"] | (held + 1 >= full), 0).otherwise(held + 1), lambda held, x: x["cut"] | (held + 1 >= full), "boolean")
+    return _chunk_rows(own.select("doc_id", F.transform("x", lambda x: x["w"]).alias("w"), closes.alias("ends")))
+
+
+def _chunk_rows(rows: DataFrame) -> DataFrame:
+    """Rows of (doc_id, words, whether a chunk ends at each) as chunks; the last word ends one too."""
+    places = F.filter(F.transform("ends", lambda e, i: F.when(e | (i == F.size("w") - 1), i)), lambda i: i.isNotNull())
+
+    def parts(p: Column) -> Column:
+        start = lambda j: F.coalesce(F.get(p, j - 1) + 1, F.lit(0))
+        return F.transform(p, lambda x, j: F.slice("w", start(j) + 1, x - start(j) + 1))
+
+    made = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(let(places, parts)).alias("n", "c"))
+    made = made.select("doc_id", F.col("n").cast("long").alias("chunk_idx"), F.array_join("c", " ").alias("chunk"), F.size("c").cast("long").alias("n_words"))
     return made.withColumn("chunk_id", F.sha2(F.concat_ws(":", "doc_id", "chunk_idx"), 256))
 
 
+def chunk_table(chunks: DataFrame, encode: Callable[[Column], Column] | None = None) -> DataFrame:
+    """id, doc_id, chunk, embedding of chunks; ``encode`` makes a vector of a text."""
+    return chunks.select(F.col("chunk_id").alias("id"), "doc_id", "chunk", (encode or hashed_vector)(F.col("chunk")).alias("embedding"))
+
+
+def write_index(table: DataFrame, path: str) -> None:
+    """The exact index is the table itself, ordered by id within files so that look-ups read few row groups."""
+    table.sortWithinPartitions("id").write.parquet(path)
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("id string, doc_id long, chunk string, embedding array<double>").parquet(path)
+
+
 def hashed_vector(text: Column, size: int = 16) -> Column:
     """Word counts hashed into ``size`` places, at unit length: a stand-in for a trained encoder."""
     places = F.transform(words(F.lower(text)), lambda w: stable_hash(w) % size)
-    counts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.size(F.filter(places, lambda p: p == k)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(counts, lambda x: F.round(F.when(norm > 0, x / norm).otherwise(0.0), 9))
+    counts = let(places, lambda p: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.size(F.filter(p, lambda x: x == k)).cast("double")))
+    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x))
+    at_unit = lambda c: let(norm(c), lambda n: F.transform(c, lambda x: F.round(F.when(n > 0, x / n).otherwise(0.0), 9)))
+    return let(counts, at_unit)
 
 
 def squared_l2(a: Column, b: Column) -> Column:

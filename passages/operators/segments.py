@@ -61,15 +61,25 @@ def window_size(gold_flags: Column) -> Column:
     return F.greatest(F.lit(2), F.floor(F.size(gold_flags) / (2 * segments) + 0.5)).cast("int")
 
 
+def segment_ids(flags: Column) -> Column:
+    """Of each sentence, how many cuts are before it."""
+    ended = F.when(F.element_at(flags, -1) == 1, flags).otherwise(F.concat(F.slice(flags, 1, F.size(flags) - 1), F.array(F.lit(1))))
+    return F.when(F.size(flags) > 0, F.flatten(F.transform(masses(ended), lambda m, j: F.array_repeat(j, m)))).otherwise(F.array().cast("array<int>"))
+
+
 def window_errors(gold_flags: Column, hyp: Column, k: Column, differ: str = "pk") -> Column:
-    """Windows (i, i+k) in which gold and hyp disagree: on a cut in between ("pk") or on the number of cuts ("wd")."""
-    starts = F.sequence(F.lit(0), F.size(gold_flags) - k - 1)
+    """Windows (i, i+k) in which gold and hyp disagree: on a cut in between ("pk") or on the number of cuts ("wd").  Time is linear in the sentences, whatever k."""
 
-    def cut(flags: Column, i: Column) -> Column:
-        part = F.slice(flags, i + 1, k)
-        return F.array_contains(part, 1) if differ == "pk" else F.aggregate(part, F.lit(0), lambda a, x: a + x)
+    def count(ids: Column) -> Column:
+        def wrong(x: Column, i: Column) -> Column:
+            far = F.get(ids, i + k)
+            g, h = far["g"] - x["g"], far["h"] - x["h"]
+            return (g > 0) != (h > 0) if differ == "pk" else g != h
 
-    return F.when(F.size(gold_flags) > k, F.size(F.filter(starts, lambda i: cut(gold_flags, i) != cut(hyp, i)))).otherwise(0)
+        return F.size(F.filter(ids, lambda x, i: F.coalesce(wrong(x, i), F.lit(False))))
+
+    both = F.zip_with(segment_ids(gold_flags), segment_ids(hyp), lambda g, h: F.struct(g.alias("g"), h.alias("h")))
+    return F.when(F.size(gold_flags) > k, let(both, count)).otherwise(0)
 
 
 def window_scores(scored: DataFrame, k: int | None = None) -> DataFrame:
@@ -106,6 +116,41 @@ def confusion(scored: DataFrame, *by: str) -> DataFrame:
     return out.select("*", F.round(ratio(tp, tp + fp, -1.0), 9).alias("precision"), F.round(ratio(tp, tp + fn, -1.0), 9).alias("recall"), F.round(ratio(2 * tp, 2 * tp + fp + fn, 0.0), 9).alias("f1"), F.round(ratio(tp + tn, tp + tn + fp + fn, 0.0), 9).alias("accuracy"))
 
 
+def multiclass_f1(rows: DataFrame, gold_class: str, predicted: str, excluded: int, *by: str) -> DataFrame:
+    """class, tp, fp, fn, precision, recall, f1 of each class, and a row with class null for all classes but ``excluded`` together.
+
+    A wrong prediction is a false positive of the gold class and a false negative of the predicted one, as the corpus
+    tools count them; F1 is the same either way.  Undefined precision and recall are -1, an undefined F1 is 0.
+    """
+    same = F.col(gold_class) == F.col(predicted)
+    sides = F.explode(F.array(F.struct(F.col(gold_class).alias("class"), same.cast("long").alias("tp"), (~same).cast("long").alias("fp"), F.lit(0).cast("long").alias("fn")), F.struct(F.col(predicted).alias("class"), F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("fp"), (~same).cast("long").alias("fn"))))
+    counts = rows.select(*by, sides.alias("x")).groupBy(*by, F.col("x.class").alias("class")).agg(*(F.sum(f"x.{c}").alias(c) for c in ("tp", "fp", "fn")))
+    whole = counts.where(F.col("class") != excluded).groupBy(*by).agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn"))).select(*by, F.lit(None).cast(counts.schema["class"].dataType).alias("class"), "tp", "fp", "fn")
+    ratio = lambda a, b, none: F.round(F.coalesce(F.try_divide(a, b), F.lit(none)), 9)
+    tp, fp, fn = map(F.col, ("tp", "fp", "fn"))
+    return counts.unionByName(whole).select("*", ratio(tp, tp + fp, -1.0).alias("precision"), ratio(tp, tp + fn, -1.0).alias("recall"), ratio(2 * tp, 2 * tp + fp + fn, 0.0).alias("f1"))
+
+
+def label_accuracy(scored: DataFrame) -> DataFrame:
+    """doc_id, accuracy: the share of sentences whose labels agree."""
+    own = scored.where(F.size("gold") > 0)
+    same = F.size(F.filter(F.arrays_zip("gold", "hyp"), lambda x: x["gold"] == x["hyp"]))
+    return own.select("doc_id", F.round(same / F.size("gold"), 9).alias("accuracy"))
+
+
+def flags_of_targets(targets: Column, n: Column) -> Column:
+    """0 and 1 for each of n sentences from the places of the last sentences of segments; the last sentence is a cut."""
+    ordered = F.array_sort(F.array_distinct(F.filter(F.array_append(targets, n - 1), lambda t: (t >= 0) & (t < n))))
+    spread = lambda e: F.flatten(F.transform(e, lambda t, j: F.concat(F.array_repeat(F.lit(0), (t - F.coalesce(F.get(e, j - 1), F.lit(-1)) - 1).cast("int")), F.array(F.lit(1)))))
+    return F.when(n > 0, let(ordered, spread)).otherwise(F.array().cast("array<int>"))
+
+
+def with_predictions(docs: DataFrame, flags: DataFrame) -> DataFrame:
+    """Question documents (id, ...) with segmented_sentences from rows (id, sent_idx, cut), in order; documents without rows keep theirs."""
+    own = flags.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("sent_idx", "cut"))).alias("_f"))
+    return docs.join(own, "id", "left").withColumn("segmented_sentences", F.coalesce(F.transform("_f", lambda x: x["cut"].cast("int")), F.col("segmented_sentences"))).select(*docs.columns)
+
+
 def probabilities(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, gold, p: a hashed stand-in for a model's boundary probabilities."""
     own = sentence_arrays(docs, keep).where(F.size("s") > 0)
@@ -113,12 +158,36 @@ def probabilities(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return own.select("doc_id", *keep, gold(F.col("s")).alias("gold"), p.alias("p"))
 
 
+def _two_to(n: Column) -> Column:
+    return F.pow(F.lit(2), n).cast("int")
+
+
 def threshold_sweep(predicted: DataFrame, *by: str, steps: int = 20) -> DataFrame:
-    """Corpus Pk at thresholds 0, 0.05, ... (a cut is p > threshold; the last sentence always is one)."""
-    at = predicted.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(steps - 1)))).withColumn("threshold", F.col("t") * F.lit(0.05))
-    hyp = F.transform("p", lambda x, i: F.when((i == F.size("p") - 1) | (x > F.col("threshold")), 1).otherwise(0))
-    scores = window_scores(at.withColumn("hyp", hyp))
-    return corpus_score(scores, "pk_errors", *by, "t").withColumn("threshold", F.round(F.col("t") * F.lit(0.05), 2))
+    """Corpus Pk at thresholds 0, 0.05, ... (a cut is p > threshold; the last sentence always is one).
+
+    A sentence's level is the number of thresholds that p exceeds, so a window has a cut at threshold t if the highest
+    level in it is above t.  One pass finds the highest level of every window, and windows are counted by it.
+    """
+    least = F.lit(0.05)
+
+    def level(x: Column) -> Column:
+        near = F.greatest(F.lit(0), F.least(F.lit(steps), F.ceil(x / least).cast("int")))
+        return let(near, lambda n: F.when((n < steps) & (x > n * least), n + 1).when((n > 0) & ~(x > (n - 1) * least), n - 1).otherwise(n))
+
+    def highest(levels: Column, k: Column) -> Column:
+        """The highest of each k levels, by doubling; the array keeps its length."""
+        wide = F.aggregate(F.sequence(F.lit(0), F.floor(F.log2(k)).cast("int")), levels, lambda a, j: F.when(j == 0, a).otherwise(F.transform(a, lambda x, i: F.greatest(x, F.coalesce(F.get(a, i + _two_to(j - 1)), F.lit(0))))))
+        return let(wide, lambda a: F.transform(a, lambda x, i: F.greatest(x, F.coalesce(F.get(a, i + k - _two_to(F.floor(F.log2(k)))), F.lit(0)))))
+
+    own = predicted.where(F.size("gold") > 0).select(*by, "gold", "p", window_size(F.col("gold")).alias("k"))
+    own = own.select(*by, "k", segment_ids(F.col("gold")).alias("g"), highest(F.transform("p", level), F.col("k")).alias("top"))
+    there = lambda ids: F.filter(F.transform(ids, lambda x, i: F.struct((F.get(ids, i + F.col("k")) > x).alias("gold"), F.get("top", i).alias("top"))), lambda x: x["gold"].isNotNull())
+    windows = own.select(*by, F.explode_outer(let(F.col("g"), there)).alias("w")).groupBy(*by, "w.gold", "w.top").agg(F.count("w").alias("n"))
+    at = windows.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
+    wrong = F.sum(F.when(F.col("gold") == (F.col("top") > F.col("t")), 0).otherwise(F.col("n")))
+    sums = at.groupBy(*by, "t").agg(wrong.alias("errors"), F.sum("n").alias("windows"))
+    score = F.round(F.coalesce(F.try_divide("errors", "windows"), F.lit(-1.0)), 9)
+    return sums.select(*by, "t", "errors", "windows", score.alias("score"), F.round(F.col("t") * least, 2).alias("threshold"))
 
 
 def best_threshold(sweep: DataFrame, *by: str) -> DataFrame:
@@ -143,20 +212,27 @@ def softmax_boundary(logit0: Column, logit1: Column) -> Column:
 
 
 def context_windows(docs: DataFrame, before: int = 1, after: int = 1) -> DataFrame:
-    """doc_id, pos, n_words of each sentence with its neighbours."""
-    s = F.col("s")
-    rows = sentence_arrays(docs).select("doc_id", F.posexplode(F.transform(s, lambda x, i: F.aggregate(F.slice(s, F.greatest(F.lit(1), i + 1 - before), F.least(i, F.lit(before)) + 1 + after), F.lit(0), lambda a, y: a + y["n_words"]))).alias("pos", "n_words"))
-    return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), F.col("n_words").cast("long").alias("n_words"))
+    """doc_id, pos, words, n_words of each sentence with its neighbours."""
+
+    def near(w: Column) -> Column:
+        return F.transform(w, lambda x, i: F.flatten(F.slice(w, F.greatest(F.lit(1), i + 1 - before), F.least(i, F.lit(before)) + 1 + after)))
+
+    own = sentence_arrays(docs).select("doc_id", let(F.transform("s", lambda x: words(x["text"])), near).alias("w"))
+    rows = own.select("doc_id", F.posexplode("w").alias("pos", "words"))
+    return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), "words", F.size("words").cast("long").alias("n_words"))
 
 
 def segment_rows(scored: DataFrame, flags: str = "hyp") -> DataFrame:
     """doc_id, seg_idx, first_pos, mass, word_mass of each segment."""
-    m = masses(F.col(flags))
-    out = scored.select("doc_id", "n_words", m.alias("m")).select("doc_id", "n_words", F.posexplode("m").alias("seg_idx", "mass"), "m")
-    first = F.aggregate(F.slice("m", 1, F.col("seg_idx")), F.lit(0), lambda a, x: a + x)
-    out = out.select("doc_id", "seg_idx", "mass", first.alias("first_pos"), "n_words")
-    total = F.aggregate(F.slice("n_words", F.col("first_pos") + 1, F.col("mass")), F.lit(0), lambda a, x: a + x)
-    return out.select("doc_id", *(F.col(c).cast("long").alias(c) for c in ("seg_idx", "first_pos", "mass")), total.cast("long").alias("word_mass"))
+    ends = F.filter(F.transform(flags, lambda x, i: F.when(x == 1, i)), lambda i: i.isNotNull())
+
+    def of(e: Column) -> Column:
+        start = lambda j: F.coalesce(F.get(e, j - 1), F.lit(-1)) + 1
+        total = lambda x, j: F.aggregate(F.slice("n_words", start(j) + 1, x - start(j) + 1), F.lit(0).cast("long"), lambda a, y: a + y)
+        return F.transform(e, lambda x, j: F.struct(start(j).alias("first_pos"), (x - start(j) + 1).alias("mass"), total(x, j).alias("word_mass")))
+
+    rows = scored.select("doc_id", F.posexplode(let(ends, of)).alias("seg_idx", "m"))
+    return rows.select("doc_id", F.col("seg_idx").cast("long").alias("seg_idx"), *(F.col(f"m.{c}").cast("long").alias(c) for c in ("first_pos", "mass", "word_mass")))
 
 
 def corpus_stats(docs: DataFrame, *by: str) -> DataFrame:

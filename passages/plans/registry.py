@@ -11,6 +11,8 @@ from passages.functions import markup
 from passages.functions import text as tx
 from passages.operators import corpus, learned, rag
 from passages.operators import segments as sg
+from passages.plans import markup_cases
+from passages.shared import shared_folder
 from passages.sources import readers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,9 +89,25 @@ def _(spark, d):
     return _docs(spark, d).select("doc_id", F.size(tx.split_long(F.col("text"))).cast("long").alias("n_parts"))
 
 
-@_query("w05_section_sentences")
+_CHAIN = r"""with t as (select doc_id, case doc_id % 4 when 0 then text || chr(10) || '***LIST***.' when 1 then replace(text, '.' || chr(10), ':' || chr(10)) else text end as x from documents),
+a as (select doc_id, string_split(regexp_replace(x, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) as s from t),
+b as (select doc_id, flatten(list_transform(s, lambda x: case when ends_with(x, chr(10) || '***LIST***.') then list_append(list_transform(string_split(x[:length(x) - 12], chr(10)), lambda y: y || '.'), '***LIST***.') else [x] end)) as s from a),
+c as (select doc_id, flatten(list_transform(s, lambda x: list_transform(string_split(x, ':' || chr(10)), lambda y, i: case when i < len(string_split(x, ':' || chr(10))) then y || ':' else y end))) as s from b),
+e as (select doc_id, flatten(list_transform(s, lambda x: case when len(regexp_extract_all(x, '[\p{L}\p{N}_]+')) > 45 then string_split(x, chr(10)) else [x] end)) as s from c)"""
+
+
+@_query("w05_section_sentences", _CHAIN + " select doc_id, cast(u.i - 1 as bigint) as pos, md5(replace(u.x, chr(10), ' ')) as digest from e, unnest(s) with ordinality u(x, i)")
 def _(spark, d):
-    return _docs(spark, d).select("doc_id", F.posexplode(tx.section_sentences(F.col("text"))).alias("pos", "sentence"))
+    k = F.col("doc_id") % 4
+    text = F.when(k == 0, F.concat("text", F.lit("\n***LIST***."))).when(k == 1, F.replace("text", F.lit(".\n"), F.lit(":\n"))).otherwise(F.col("text"))
+    rows = _docs(spark, d).select("doc_id", F.posexplode(tx.section_sentences(text)).alias("pos", "sentence"))
+    return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), F.md5("sentence").alias("digest"))
+
+
+@_query("w08_sentence_counts", f"with {_SENTENCES} select doc_id, cast(count(*) as bigint) as n from s group by doc_id")
+def _(spark, d):
+    lines = F.transform(F.split("text", "\n"), tx.sentence_count)
+    return _docs(spark, d).select("doc_id", F.aggregate(lines, F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).where("n > 0")
 
 
 _SYNTHETIC = "'========,1,preface.' || chr(10) || replace(text, chr(10), chr(10) || '========,' || (2 + doc_id % 3)::varchar || ',part.' || chr(10))"
@@ -109,8 +127,7 @@ def _(spark, d):
 
 @_query("w10_without_preface", rf"with t as (select doc_id, list_filter(regexp_split_to_array({_SYNTHETIC}, '========,\d,.*?\.')[3:], lambda x: trim(x, chr(10) || ' ') <> '') as p from documents) select doc_id, cast(len(p) as bigint) as sections from t")
 def _(spark, d):
-    p = F.filter(F.slice(tx.split_sections(F.col("text")), 3, 1 << 30), lambda x: F.regexp_replace(x, "^[\n ]+$", "") != "")
-    return _with_headers(_docs(spark, d)).select("doc_id", F.size(p).cast("long").alias("sections"))
+    return _with_headers(_docs(spark, d)).select("doc_id", F.size(tx.without_preface(tx.split_sections(F.col("text")))).cast("long").alias("sections"))
 
 
 @_query("w11_letters_only", "select doc_id, md5(regexp_replace(text, '[^a-zA-Z0-9 ]+', '', 'g')) as digest from documents")
@@ -164,6 +181,180 @@ def _(spark, d):
     return markup.clean_pages(pages, {"Note": "'''{{{1}}}''' by {{{2|nobody}}}. "})
 
 
+def _add_cases(name: str, cases: list[tuple[str, str]]) -> None:
+    """The cases of a markup rule as pages, and their lines as SQL."""
+    text = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = ", ".join(f"({i}, {text(expected)})" for i, (_, expected) in enumerate(cases))
+
+    @_query(name, f"select cast(page_id as bigint) as page_id, body from (values {rows}) v(page_id, body)")
+    def _(spark, d):
+        pages = spark.createDataFrame([(i, "Case", x) for i, (x, _) in enumerate(cases)], "page_id long, title string, text string")
+        own = markup.clean_pages(pages, markup_cases.TEMPLATES, markup.clock(markup_cases.NOW), lists=name != "c17_html", to_html=name == "c17_html", keep_links=name == "c14_keep_links")
+        return own.select("page_id", "body")
+
+
+for _name, _cases in markup_cases.CASES.items():
+    _add_cases(_name, _cases)
+
+
+# --- sources: the test tables, written in a format and read again ------------------------------------------------
+
+def _written(spark: SparkSession, name: str, write: Callable[[str], None]) -> str:
+    path = shared_folder(spark, name)
+    write(path)
+    return path
+
+
+def _dump(spark: SparkSession, d: str) -> DataFrame:
+    """documents as a page dump: each fifth is a template, each seventh a redirect."""
+    docs = _docs(spark, d)
+    page = readers.page_element(F.col("doc_id"), F.concat("source", F.lit(" & <"), "doc_id", F.lit(">")), F.when(F.col("doc_id") % 5 == 0, 10).otherwise(0), F.col("text"))
+    moved = F.when(F.col("doc_id") % 7 == 0, F.replace(page, F.lit("<revision>"), F.lit('<redirect title="X"/><revision>'))).otherwise(page)
+    dumps = docs.groupBy((F.col("doc_id") % 4).alias("n")).agg(F.collect_list(moved).alias("p")).select(F.concat(F.lit("<mediawiki>\n"), F.array_join("p", "\n"), F.lit("\n</mediawiki>")).alias("value"))
+    return readers.read_dump(spark, _written(spark, "dump", lambda path: dumps.write.option("maxRecordsPerFile", 1).text(path)))  # a dump has one root
+
+
+_PAGES = "p as (select doc_id as page_id, source || ' & <' || doc_id || '>' as title, case when doc_id % 5 = 0 then 10 else 0 end as ns, text from documents where doc_id % 7 <> 0)"
+
+
+@_query("s01_dump", f"with {_PAGES} select page_id, title, ns, md5(text) as digest from p")
+def _(spark, d):
+    return _dump(spark, d).select("page_id", "title", "ns", F.md5("text").alias("digest"))
+
+
+@_query("s04_article_cap", f"with {_PAGES} select page_id, title from p where ns <> 10 order by page_id limit 25")
+def _(spark, d):
+    return readers.articles(_dump(spark, d), 25).select("page_id", "title")
+
+
+@_query("s05_namespaces", f"with {_PAGES} select ns = 10 as is_template, count(*) as n from p group by all")
+def _(spark, d):
+    pages = _dump(spark, d)
+    return readers.articles(pages).agg(F.lit(False).alias("is_template"), F.count("*").alias("n")).unionByName(readers.templates(pages).agg(F.lit(True).alias("is_template"), F.count("*").alias("n")))
+
+
+@_query("s06_templates", f"with {_PAGES} select title, md5(text) as digest from p where ns = 10")
+def _(spark, d):
+    path = _written(spark, "templates", lambda path: readers.write_templates(_dump(spark, d), path))
+    return readers.read_templates(spark, path).select("title", F.md5("text").alias("digest"))
+
+
+_ROLLING = """r as (select doc_id, text, sum(strlen(text) + 1) over (order by doc_id) - strlen(text) - 1 as before from documents),
+n as (select *, cast(floor(before / 20000.0) as bigint) as n from r), f as (select n, text, chr(65 + cast(n // 2600 % 26 as int)) || chr(65 + cast(n // 100 % 26 as int)) as folder, 'wiki_' || lpad((n % 100)::varchar, 2, '0') as file from n)"""
+
+
+@_query("s08_rolling_files", f"with {_ROLLING} select folder, file, cast(sum(len(string_split(text, chr(10)))) as bigint) as lines, cast(sum(length(text) - len(string_split(text, chr(10))) + 1) as bigint) as chars from f group by all")
+def _(spark, d):
+    path = _written(spark, "rolling", lambda path: readers.write_rolling(_docs(spark, d).select("doc_id", F.col("text").alias("value")), path, "doc_id", 20_000))
+    own = spark.read.option("lineSep", "\n").text(path)
+    return own.groupBy("folder", "file").agg(F.count("*").alias("lines"), F.sum(F.length("value")).cast("long").alias("chars"))
+
+
+@_query("s10_article_blocks", "select doc_id as id, 'http://e/w?curid=' || doc_id as url, source as title, md5(trim(text, ' ' || chr(10))) as digest from documents")
+def _(spark, d):
+    block = F.concat(F.lit('<doc id="'), "doc_id", F.lit('" url="http://e/w?curid='), "doc_id", F.lit('" title="'), "source", F.lit('">\n'), "text", F.lit("\n</doc>"))
+    path = _written(spark, "blocks", lambda path: _docs(spark, d).select(block.alias("value")).write.text(path))
+    trimmed = F.regexp_replace("body", "^[ \n]+|[ \n]+$", "")
+    return readers.read_blocks(spark, path).select("id", "url", "title", F.md5(trimmed).alias("digest"))
+
+
+@_query("s11_recursive_files", "select 'source=' || source as folder, cast(count(*) as bigint) as n from documents where doc_id < 40 group by source")
+def _(spark, d):
+    few = _docs(spark, d).where("doc_id < 40").select("source", F.col("doc_id").alias("file"), F.col("text").alias("value"))
+    path = _written(spark, "files", lambda path: few.repartition("source", "file").write.partitionBy("source", "file").text(path))
+    return readers.read_texts(spark, path, "*.txt").groupBy(F.regexp_extract("path", r"/(source=[^/]+)/", 1).alias("folder")).agg(F.count("*").alias("n"))
+
+
+@_query("s13_processed_articles", rf"with t as (select doc_id, {_SYNTHETIC} as x from documents), l as (select doc_id, u.p as p, u.v as line from documents, unnest(string_split(text, chr(10))) with ordinality u(v, p) where u.p > 1 and regexp_matches(u.v, '[\p{{L}}\p{{N}}_]')) select doc_id, string_agg(line, chr(10) order by p) as sentences, cast(count(*) as bigint) as n_targets from l group by doc_id")
+def _(spark, d):
+    own = _with_headers(_docs(spark, d)).select("doc_id", readers.with_targets(readers.article_sections(F.col("text"))).alias("x"))
+    return own.where(F.size("x.targets") > 0).select("doc_id", F.array_join("x.sentences", "\n").alias("sentences"), F.size("x.targets").cast("long").alias("n_targets"))
+
+
+def _segmented(spark: SparkSession, d: str) -> DataFrame:
+    """documents as segmented files: a line is a segment of a repeated sentence."""
+    line = F.regexp_replace("line", "[^a-z]+", "")
+    lines = _docs(spark, d).select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", line.alias("line")).where("length(line) > 8").distinct()
+    text = lines.groupBy("doc_id").agg(F.concat(F.lit("==========\n"), F.array_join(F.array_sort(F.collect_list(F.concat("line", F.lit(" .\n"), "line", F.lit(" .\n==========\n")))), "")).alias("text"))
+    return text.select("doc_id", readers.with_targets(readers.segmented_file(F.col("text"))).alias("x"))
+
+
+@_query("s14_segmented_files", "with l as (select distinct doc_id, regexp_replace(u.v, '[^a-z]+', '', 'g') as line from documents, unnest(string_split(text, chr(10))) u(v)), k as (select * from l where length(line) > 8) select doc_id, cast(2 * count(*) as bigint) as n_sentences, string_agg((2 * r - 1)::varchar, ',' order by r) as targets from (select *, row_number() over (partition by doc_id order by line) as r from k) group by doc_id")
+def _(spark, d):
+    return _segmented(spark, d).select("doc_id", F.size("x.sentences").cast("long").alias("n_sentences"), F.array_join("x.targets", ",").alias("targets"))
+
+
+@_query("s16_question_files", "select cast(conv_id as int) as id, cast(count(*) as bigint) as n, md5(string_agg(text, chr(10) order by turn)) as digest from conversations where role = 'user' group by conv_id")
+def _(spark, d):
+    path = _written(spark, "questions", lambda path: readers.write_documents(_question_documents(spark, d), path))
+    return readers.read_qa(spark, path, True).select("id", F.size("qas").cast("long").alias("n"), F.md5(F.array_join(F.transform("qas", lambda q: q["question"]), "\n")).alias("digest"))
+
+
+@_query("s17_predictions_written", f"with {_FLAGS} select cast(doc_id as int) as id, string_agg(hyp::varchar, '' order by pos) as flags from f group by doc_id")
+def _(spark, d):
+    docs = _docs(spark, d).select(F.col("doc_id").alias("id"), F.col("source").alias("title"), F.lit(None).cast("array<int>").alias("segmented_sentences"))
+    flags = sg.pairs(_docs(spark, d)).select(F.col("doc_id").alias("id"), F.posexplode("hyp").alias("sent_idx", "cut"))
+    path = _written(spark, "predictions", lambda path: readers.write_documents(sg.with_predictions(docs, flags), path))
+    return readers.read_qa(spark, path, True).where("segmented_sentences is not null").select("id", F.array_join(F.transform("segmented_sentences", lambda x: x.cast("string")), "").alias("flags"))
+
+
+def _sentence_rows(spark: SparkSession, d: str) -> DataFrame:
+    return sg.sentences(_docs(spark, d).where("doc_id < 30")).select("doc_id", F.col("pos").alias("sent_idx"), "sentence")
+
+
+_SOME = _SENTENCES.replace("from documents,", "from (select * from documents where doc_id < 30) documents,")
+
+
+@_query("s19_annotation_templates", f"with {_SOME} select 'a' as annotator, doc_id, pos as sent_idx, 0 as cut, md5(trim(sentence)) as digest from s")
+def _(spark, d):
+    path = _written(spark, "annotations", lambda path: readers.write_template(_sentence_rows(spark, d), path))
+    return readers.read_annotations(spark, path, "a").select("annotator", "doc_id", "sent_idx", "cut", F.md5(F.trim("sentence")).alias("digest"))
+
+
+@_query("s20_plain_text", f"with {_SOME} select doc_id, cast(count(*) as bigint) as lines, cast(sum(length(sentence)) as bigint) as chars from s group by doc_id")
+def _(spark, d):
+    path = _written(spark, "plain", lambda path: readers.write_plain(_sentence_rows(spark, d), path))
+    return spark.read.option("lineSep", "\n").text(path).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count("*").alias("lines"), F.sum(F.length("value")).cast("long").alias("chars"))
+
+
+@_query("s22_segmenter_output", "with l as (select doc_id, u.p, u.v as line from documents, unnest(string_split(text, chr(10))) with ordinality u(v, p) where regexp_matches(u.v, '[^ \\t\\n\\x0b\\f\\r]')), n as (select *, row_number() over (partition by doc_id order by p) as r, count(*) over (partition by doc_id) as n from l) select doc_id, string_agg(case when r % 3 = 0 or r = n then '1' else '0' end, '' order by p) as cuts from n group by doc_id")
+def _(spark, d):
+    lines = lambda x: F.filter(F.split(x, "\n"), lambda y: y.rlike(r"[^ \t\n\x0b\f\r]"))
+    marked = F.array_join(F.transform(lines(F.col("text")), lambda x, i: F.concat(F.lit("x"), F.when(i % 3 == 2, "\n==========").otherwise(""))), "\n")
+    return _docs(spark, d).select("doc_id", F.array_join(F.transform(readers.delimited_cuts(marked), lambda x: x["cut"].cast("string")), "").alias("cuts")).where("cuts <> ''")
+
+
+@_query("s23_results", f"with {_WINDOWS} select doc_id, cast(windows as bigint) as windows, cast(pk_errors as bigint) as pk_errors from e")
+def _(spark, d):
+    scores = sg.window_scores(sg.pairs(_docs(spark, d))).select("doc_id", "windows", "pk_errors")
+    path = _written(spark, "results", lambda path: readers.write_results(scores, path))
+    return spark.read.option("header", "true").schema("doc_id long, windows long, pk_errors long").csv(path)
+
+
+@_query("s25_aligned_topics", "with t as (select doc_id // 10 as g, doc_id, case when doc_id % 4 = 0 then 'TOP-LEVEL SEGMENT' else lang end as topic, source from documents) select g::varchar as doc_id, doc_id as line_no, topic, source as sentence, case when topic = 'TOP-LEVEL SEGMENT' then 1 else 2 end as level, coalesce(lag(topic) over (partition by g order by doc_id) <> topic, true) as starts from t")
+def _(spark, d):
+    docs = _docs(spark, d)
+    head = F.concat(F.floor(F.col("doc_id") / 10).cast("string"), F.lit(",x,"), F.when(F.col("doc_id") % 4 == 0, "TOP-LEVEL SEGMENT").otherwise(F.col("lang")))
+    return readers.aligned_topic_rows(docs.select(F.col("doc_id").alias("line_no"), F.col("source").alias("value")), docs.select(F.col("doc_id").alias("line_no"), head.alias("value")))
+
+
+@_query("s26_numbered_lines", "select cast(row_number() over (order by doc_id) - 1 as bigint) as line_no, source || ' ' || doc_id as value from documents")
+def _(spark, d):
+    rows = _docs(spark, d).select("doc_id", F.concat_ws(" ", "source", "doc_id").alias("value")).repartition(1).sortWithinPartitions("doc_id").select("value")
+    return readers.numbered_lines(spark, _written(spark, "lines", lambda path: rows.write.text(path)))
+
+
+@_query("l09_shuffled_segments", "with l as (select doc_id, u.p - 1 as i, u.v as line from documents, unnest(string_split(text, chr(10))) with ordinality u(v, p)) select doc_id, md5(string_agg(line, chr(10) order by md5(doc_id || ':' || i))) as digest from l group by doc_id")
+def _(spark, d):
+    return _docs(spark, d).select("doc_id", F.md5(F.array_join(readers.shuffled_segments(F.split("text", "\n"), F.col("doc_id")), "\n")).alias("digest"))
+
+
+@_query("l10_question_targets", r"with r as (select doc_id, list_filter(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: regexp_matches(x, '[\p{L}\p{N}_]')) as s from documents) select doc_id, cast(len(s) as bigint) as n, cast(len(s) - 1 as int) as target from r")
+def _(spark, d):
+    own = _docs(spark, d).select("doc_id", readers.question_targets(F.col("text")).alias("x"))
+    return own.select("doc_id", F.size("x.sentences").cast("long").alias("n"), F.get("x.targets", 0).alias("target"))
+
+
 # --- labels and segmenters ---------------------------------------------------------------------------------------
 
 @_query("l01_targets", f"with {_FLAGS} select doc_id, cast(pos as bigint) as target from f where gold = 1")
@@ -177,9 +368,17 @@ def _(spark, d):
     return own.select("doc_id", F.size("g").cast("long").alias("n"), F.aggregate("g", F.lit(0), lambda a, x: a + x).cast("long").alias("ones"))
 
 
-@_query("l04_context_windows", f"with {_SENTENCES} select doc_id, pos, cast(sum(n_words) over (partition by doc_id order by pos rows between 1 preceding and 1 following) as bigint) as n_words from s")
+@_query("l04_context_windows", f"with {_SENTENCES}, c as (select doc_id, pos, regexp_extract_all(sentence, '[\\p{{L}}\\p{{N}}_]+') as w, n_words from s) select doc_id, pos, cast(sum(n_words) over x as bigint) as n_words, md5(array_to_string(flatten(list(w) over x), ' ')) as digest from c window x as (partition by doc_id order by pos rows between 1 preceding and 1 following)")
 def _(spark, d):
-    return sg.context_windows(_docs(spark, d))
+    return sg.context_windows(_docs(spark, d)).select("doc_id", "pos", "n_words", F.md5(F.array_join("words", " ")).alias("digest"))
+
+
+@_query("l03_targets_to_flags", f"with {_FLAGS} select doc_id, string_agg(case when pos = n - 1 or (gold = 1 and pos % 3 <> 1) then '1' else '0' end, '' order by pos) as flags from f group by doc_id")
+def _(spark, d):
+    own = sg.pairs(_docs(spark, d)).where(F.size("gold") > 0)
+    targets = F.filter(F.transform("gold", lambda x, i: F.when((x == 1) & (i % 3 != 1), i)), lambda i: i.isNotNull())
+    flags = sg.flags_of_targets(targets, F.size("gold"))
+    return own.select("doc_id", F.array_join(F.transform(flags, lambda x: x.cast("string")), "").alias("flags"))
 
 
 @_query("l05_word_vectors", r"with w as (select doc_id, unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+')) as word from documents), v as (select word, count(*) as n from w group by word), k as (select word, length(word) as x from v where n > 20) select w.doc_id, cast(count(*) as bigint) as words, cast(count(k.word) as bigint) as known, cast(sum(coalesce(k.x, -1)) as bigint) as total from w left join k using (word) group by w.doc_id")
@@ -234,7 +433,13 @@ def _(spark, d):
     return sg.corpus_score(sg.window_scores(sg.pairs(_docs(spark, d))))
 
 
-@_query("a02_pk_word_units")
+_WORD_UNITS = _FLAGS + """,
+wu as (select f.doc_id, f.pos, u.i, case when u.i = n_words then gold else 0 end as gold, case when u.i = n_words then hyp else 0 end as hyp from f, unnest(range(1, n_words + 1)) as u(i)),
+wc as (select doc_id, row_number() over w - 1 as pos, sum(gold) over w - gold as gs, sum(hyp) over w - hyp as hs, gold from wu window w as (partition by doc_id order by pos, i)),
+wd as (select doc_id, count(*) as n, greatest(2, cast(floor(count(*) / (2.0 * sum(gold)) + 0.5) as bigint)) as k from wc group by doc_id)"""
+
+
+@_query("a02_pk_word_units", f"with {_WORD_UNITS} select cast(sum(case when (a.gs = b.gs) <> (a.hs = b.hs) then 1 else 0 end) as bigint) as errors, cast(count(*) as bigint) as windows, round(avg(case when (a.gs = b.gs) <> (a.hs = b.hs) then 1.0::double else 0 end), 9) as score from wc a join wd using (doc_id) join wc b on b.doc_id = a.doc_id and b.pos = a.pos + wd.k")
 def _(spark, d):
     return sg.corpus_score(sg.window_scores(sg.word_masses(sg.pairs(_docs(spark, d)))))
 
@@ -248,11 +453,24 @@ def _(spark, d):
     return sg.confusion(sg.pairs(_docs(spark, d)))
 
 
-@_query("a08_f1_by_language", f"with {_FLAGS} " + _CONFUSION.format(", lang", "(select f.*, lang from f join documents using (doc_id))", "group by lang"))
+@_query("a05_confusion_by_language", f"with {_FLAGS} " + _CONFUSION.format(", lang", "(select f.*, lang from f join documents using (doc_id))", "group by lang"))
 def _(spark, d):
     return sg.confusion(sg.pairs(_docs(spark, d), keep=("lang",)), "lang")
 
 
+_CLASSES = 5
+
+
+@_query("a08_multiclass_f1", f"""with r as (select doc_id % {_CLASSES} as g, case when doc_id % 3 = 0 then n_chars % {_CLASSES} else doc_id % {_CLASSES} end as p from documents),
+c as (select g as class, count(*) filter (g = p) as tp, count(*) filter (g <> p) as fp, 0 as fn from r group by g union all select p, 0, 0, count(*) filter (g <> p) from r group by p),
+k as (select class, sum(tp) as tp, sum(fp) as fp, sum(fn) as fn from c group by class), u as (select * from k union all select null, sum(tp), sum(fp), sum(fn) from k where class <> {_CLASSES - 1})
+select class, cast(tp as bigint) as tp, cast(fp as bigint) as fp, cast(fn as bigint) as fn, round(coalesce(tp / nullif(tp + fp, 0)::double, -1), 9) as precision, round(coalesce(tp / nullif(tp + fn, 0)::double, -1), 9) as recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0)::double, 0), 9) as f1 from u""")
+def _(spark, d):
+    g = F.col("doc_id") % _CLASSES
+    rows = _docs(spark, d).select(g.alias("g"), F.when(F.col("doc_id") % 3 == 0, F.col("n_chars") % _CLASSES).otherwise(g).alias("p"))
+    return sg.multiclass_f1(rows, "g", "p", _CLASSES - 1)
+
+
 _SWEEP = _FLAGS + f""",
 q as (select f.doc_id, f.pos, f.n, f.gold, ({_HASH.format("'p:' || f.doc_id::varchar || ':' || f.pos::varchar")} % 1000) / 1000.0::double as p from f),
 t as (select unnest(range(0, 20)) as t),
@@ -302,14 +520,17 @@ def _(spark, d):
 
 @_query("a11_label_accuracy", f"with {_FLAGS} select doc_id, round(avg(case when gold = hyp then 1.0 else 0.0 end), 9)::double as accuracy from f group by doc_id")
 def _(spark, d):
-    own = sg.pairs(_docs(spark, d)).where(F.size("gold") > 0)
-    same = F.size(F.filter(F.arrays_zip("gold", "hyp"), lambda x: x["gold"] == x["hyp"]))
-    return own.select("doc_id", F.round(same / F.size("gold"), 9).alias("accuracy"))
+    return sg.label_accuracy(sg.pairs(_docs(spark, d)))
 
 
-@_query("a12_questions_per_title", "select conv_id, cast(count(*) as bigint) as turns, cast(count(*) filter (role = 'user') as bigint) as questions from conversations group by conv_id")
+def _question_documents(spark: SparkSession, d: str) -> DataFrame:
+    turns = _table(spark, d, "conversations").where("role = 'user'")
+    return rag.question_documents(turns, "conv_id", "turn", F.col("text"), F.concat(F.lit("turn "), F.col("turn").cast("string")), F.upper("role"))
+
+
+@_query("a12_questions_per_title", "select conv_id as id, cast(count(*) as bigint) as n_questions from conversations where role = 'user' group by conv_id")
 def _(spark, d):
-    return _table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.sum((F.col("role") == "user").cast("long")).alias("questions"))
+    return rag.question_counts(_question_documents(spark, d))
 
 
 @_query("a13_side_by_side", f"with {_FLAGS} select doc_id, md5(string_agg(sentence || case when gold = 1 then chr(10) || '==========' else '' end || case when hyp = 1 then chr(10) || '----------' else '' end, chr(10) order by pos)) as digest from f group by doc_id")
@@ -320,10 +541,15 @@ def _(spark, d):
 
 # --- corpus filters ----------------------------------------------------------------------------------------------
 
-@_query("f01_titles", "with t as (select doc_id, case doc_id % 4 when 0 then doc_id::varchar when 1 then 'Category:' || source when 2 then source || ' (disambiguation)' else source end as title from documents) select doc_id, title, doc_id % 4 = 3 as is_article from t")
+_PREFIXES = ("Category", "Ru", "Gadget definition", "Gadget", "Image", "Topic", "category", "Education Program")
+
+
+@_query("f01_titles", "with t as (select doc_id, case doc_id % 12 when 0 then doc_id::varchar when 1 then source || ' (disambiguation)' when 2 then source || ' (Disambiguation)' when 3 then source else (list_value(" + ", ".join(f"'{p}'" for p in _PREFIXES) + """))[doc_id % 12 - 3] || ':' || source end as title from documents)
+select doc_id, title, not (regexp_full_match(title, '[0-9]+') or ends_with(title, '(disambiguation)') or len(list_filter(['Category', 'File', 'Ru', 'Wikipedia', 'Talk', 'User', 'MediaWiki', 'Template', 'Help', 'Portal', 'Book', 'Draft', 'Education Program', 'TimedText', 'Module', 'Gadget', 'Gadget definition', 'Media', 'Special'], lambda x: starts_with(title, x || ':'))) > 0) as is_article from t""")
 def _(spark, d):
-    k = F.col("doc_id") % 4
-    title = F.when(k == 0, F.col("doc_id").cast("string")).when(k == 1, F.concat(F.lit("Category:"), "source")).when(k == 2, F.concat("source", F.lit(" (disambiguation)"))).otherwise(F.col("source"))
+    k = F.col("doc_id") % 12
+    prefix = F.get(F.array(*map(F.lit, _PREFIXES)), (k - 4).cast("int"))
+    title = F.when(k == 0, F.col("doc_id").cast("string")).when(k == 1, F.concat("source", F.lit(" (disambiguation)"))).when(k == 2, F.concat("source", F.lit(" (Disambiguation)"))).when(k == 3, F.col("source")).otherwise(F.concat(prefix, F.lit(":"), "source"))
     return _docs(spark, d).select("doc_id", title.alias("title")).withColumn("is_article", corpus.title_is_article(F.col("title")))
 
 
@@ -334,9 +560,8 @@ def _(spark, d):
 
 @_query("f03_section_runs", "with l as (select doc_id, u.v as line, u.p - 1 as line_no from documents, unnest(string_split(text, chr(10))) with ordinality u(v, p)), g as (select doc_id, line_no, sum(case when length(line) < 40 then 1 else 0 end) over (partition by doc_id order by line_no) as run from l) select doc_id, cast(run as bigint) as run, cast(min(line_no) as bigint) as first_line, cast(count(*) as bigint) as lines from g group by doc_id, run")
 def _(spark, d):
-    lines = _docs(spark, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    run = F.sum((F.length("line") < 40).cast("long")).over(Window.partitionBy("doc_id").orderBy("line_no"))
-    return lines.withColumn("run", run).groupBy("doc_id", "run").agg(F.min("line_no").cast("long").alias("first_line"), F.count("*").alias("lines"))
+    own = _docs(spark, d).select("doc_id", F.split("text", "\n").alias("x")).select("doc_id", F.explode(corpus.line_runs(F.col("x"), lambda x: F.length(x) < 40)).alias("r"))
+    return own.select("doc_id", *(F.col(f"r.{c}").cast("long").alias(c) for c in ("run", "first_line", "lines")))
 
 
 _SECTIONS = r"""l as (select doc_id, u.v as line, u.p - 1 as sec from documents, unnest(string_split(text, chr(10))) with ordinality u(v, p)),
@@ -388,8 +613,7 @@ def _(spark, d):
 
 @_query("f10_ranked_split", f"with t as (select doc_id, percent_rank() over (partition by source order by {_HASH.format('doc_id::varchar')}, doc_id) as r from documents) select doc_id, case when r < 0.8 then 'train' when r < 0.9 then 'test' else 'dev' end as partition from t")
 def _(spark, d):
-    r = F.percent_rank().over(Window.partitionBy("source").orderBy(tx.stable_hash(F.col("doc_id").cast("string")), "doc_id"))
-    return _docs(spark, d).select("doc_id", r.alias("r")).select("doc_id", F.when(F.col("r") < 0.8, "train").when(F.col("r") < 0.9, "test").otherwise("dev").alias("partition"))
+    return corpus.ranked_split(_docs(spark, d), "source").select("doc_id", "partition")
 
 
 @_query("f11_denylist", "select doc_id, n_chars from documents where doc_id not in (select doc_id from labels where toxic = 1)")
@@ -421,7 +645,7 @@ def _(spark, d):
 @_query("s27_separators", "select doc_id, md5(replace(replace(text, chr(10), chr(10) || '==========' || chr(10)), '==========', repeat('*', 44))) as digest from documents")
 def _(spark, d):
     marked = F.replace("text", F.lit("\n"), F.lit("\n==========\n"))
-    return _docs(spark, d).select("doc_id", F.md5(F.replace(marked, F.lit("=" * 10), F.lit("*" * 44))).alias("digest"))
+    return _docs(spark, d).select("doc_id", F.md5(tx.with_separators(marked)).alias("digest"))
 
 
 @_query("s29_sample", "select doc_id from documents order by md5('0:' || doc_id::varchar), doc_id limit 50")
@@ -442,10 +666,28 @@ def _(spark, d):
     return rag.distinct_contexts(_docs(spark, d), "source", "text", "doc_id").select("source", F.md5("text").alias("digest"), "row_no", "place")
 
 
-@_query("d03_turns", "select conv_id, string_agg(role, ',' order by turn) as roles, cast(count(*) as bigint) as n from conversations group by conv_id")
+@_query("d03_questions", "select conv_id as id, md5(string_agg(text || '|turn ' || turn || '|USER', chr(10) order by turn)) as digest, cast(count(*) as bigint) as n from conversations where role = 'user' group by conv_id")
+def _(spark, d):
+    line = F.transform("qas", lambda q: F.concat(q["question"], F.lit("|"), q["context"], F.lit("|"), F.array_join(q["answers"], ",")))
+    return _question_documents(spark, d).select("id", F.md5(F.array_join(line, "\n")).alias("digest"), F.size("qas").cast("long").alias("n"))
+
+
+@_query("d04_first_titles", "with f as (select source, min(doc_id) as a from documents group by source) select source as title, row_number() over (order by a) as doc_id from f qualify doc_id <= 7")
 def _(spark, d):
-    turns = F.array_sort(F.collect_list(F.struct("turn", "role")))
-    return _table(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(turns, lambda x: x["role"]), ",").alias("roles"), F.count("*").alias("n"))
+    return rag.assembled(_docs(spark, d), "source", "text", "doc_id", 7).select("title", "doc_id")
+
+
+@_query("d06_clean_contents", r"with r as (select source as title, text, min(doc_id) as a from documents group by all), t as (select title, regexp_replace(regexp_replace(string_agg('<p>' || text || '</p>', chr(10) order by a), '<[^>]*>', '', 'g'), '\s+', ' ', 'g') as content from r group by title) select title, md5(content) as digest, cast(len(list_filter(string_split(regexp_replace(content, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: regexp_matches(x, '[\p{L}\p{N}_]'))) as bigint) as num_sentences from t")
+def _(spark, d):
+    rows = _docs(spark, d).withColumn("text", F.concat(F.lit("<p>"), "text", F.lit("</p>")))
+    return rag.assembled(rows, "source", "text", "doc_id", clean=True).select("title", F.md5("content").alias("digest"), "num_sentences")
+
+
+@_query("d07_predictions", f"with {_FLAGS} select doc_id as id, string_agg(hyp::varchar, '' order by pos) as flags, source as title from f join documents using (doc_id) group by doc_id, source")
+def _(spark, d):
+    docs = _docs(spark, d).select(F.col("doc_id").alias("id"), F.col("source").alias("title"), F.array().cast("array<int>").alias("segmented_sentences"))
+    flags = sg.pairs(_docs(spark, d)).select(F.col("doc_id").alias("id"), F.posexplode("hyp").alias("sent_idx", "cut"))
+    return sg.with_predictions(docs, flags).where(F.size("segmented_sentences") > 0).select("id", F.array_join(F.transform("segmented_sentences", lambda x: x.cast("string")), "").alias("flags"), "title")
 
 
 @_query("d05_one_per_title", "select source, doc_id from (select source, doc_id, row_number() over (partition by source order by doc_id) as r from documents where length(text) <= 2000) where r = 1")
@@ -453,7 +695,7 @@ def _(spark, d):
     return rag.one_per_title(_docs(spark, d), "source", "text", "doc_id", 2000).select("source", "doc_id")
 
 
-@_query("v01_fixed_chunks", """with recursive w as (select doc_id, list_filter(string_split(text, ' '), lambda x: x <> '') as a from documents),
+@_query("v01_fixed_chunks", r"""with recursive w as (select doc_id, list_filter(regexp_split_to_array(text, '[\s\x1c-\x1f\x{85}\p{Z}]+'), lambda x: x <> '') as a from documents),
 c as (select doc_id, a, 1 as i, 0 as size, 0 as chunk, '' as held from w union all select doc_id, a, i + 1, case when size + length(a[i]) + 1 >= 256 then 0 else size + length(a[i]) + 1 end, case when size + length(a[i]) + 1 >= 256 then chunk + 1 else chunk end, '' from c where i <= len(a)),
 p as (select doc_id, i, chunk, a[i] as word from c where i <= len(a))
 select doc_id, cast(chunk as bigint) as chunk_idx, md5(string_agg(word, ' ' order by i)) as digest, cast(count(*) as bigint) as n_words, sha256(doc_id::varchar || ':' || chunk::varchar) as chunk_id from p group by doc_id, chunk""")
@@ -461,21 +703,62 @@ def _(spark, d):
     return rag.fixed_chunks(_docs(spark, d)).select("doc_id", "chunk_idx", F.md5("chunk").alias("digest"), "n_words", "chunk_id")
 
 
-@_query("v02_sentence_chunks")
+_SPLIT = r"list_filter(regexp_split_to_array({0}, '[\s\x1c-\x1f\x{85}\p{Z}]+'), lambda x: x <> '')".replace("{85}", "{{85}}").replace(r"\p{Z}", r"\p{{Z}}")
+_V_CHUNKS = "select doc_id, chunk_idx, md5(string_agg(word, ' ' order by pos, i)) as digest, cast(count(*) as bigint) as n_words, sha256(doc_id::varchar || ':' || chunk_idx::varchar) as chunk_id from {0} group by doc_id, chunk_idx"
+
+
+@_query("v02_sentence_chunks", f"""with recursive {_FLAGS}, y as (select doc_id, pos, gold, {_SPLIT.format("sentence")} as w from f), z as (select doc_id, pos, gold, list_sum(list_transform(w, lambda x: length(x) + 1)) as cost from y),
+fold as (select doc_id, pos, case when gold = 1 or cost >= 256 then 0 else cost end as held, case when gold = 1 or cost >= 256 then 1 else 0 end as next, 0 as chunk_idx from z where pos = 0
+ union all select z.doc_id, z.pos, case when z.gold = 1 or fold.held + z.cost >= 256 then 0 else fold.held + z.cost end, fold.next + case when z.gold = 1 or fold.held + z.cost >= 256 then 1 else 0 end, fold.next from fold join z on z.doc_id = fold.doc_id and z.pos = fold.pos + 1),
+parts as (select y.doc_id, cast(fold.chunk_idx as bigint) as chunk_idx, y.pos, u.i, y.w[u.i] as word from y join fold on fold.doc_id = y.doc_id and fold.pos = y.pos, unnest(range(1, len(y.w) + 1)) as u(i)) """ + _V_CHUNKS.format("parts"))
 def _(spark, d):
     own = sg.sentence_arrays(_docs(spark, d)).withColumn("flags", sg.gold(F.col("s")))
-    return rag.segment_chunks(own, "flags", 256, "sentence")
+    return rag.segment_chunks(own, "flags", 256, "sentence").select("doc_id", "chunk_idx", F.md5("chunk").alias("digest"), "n_words", "chunk_id")
+
+
+_WORD_CHUNKS = f"""{_FLAGS}, y as (select doc_id, pos, gs, {_SPLIT.format("sentence")} as w from c),
+q as (select doc_id, pos, gs, u.i, w[u.i] as word from y, unnest(range(1, len(w) + 1)) as u(i)),
+g as (select *, (row_number() over (partition by doc_id, gs order by pos, i) - 1) // 63 as part from q),
+parts as (select *, cast(dense_rank() over (partition by doc_id order by gs, part) - 1 as bigint) as chunk_idx from g)"""
+
+
+@_query("v03_word_chunks", f"with {_WORD_CHUNKS} " + _V_CHUNKS.format("parts"))
+def _(spark, d):
+    own = sg.sentence_arrays(_docs(spark, d)).withColumn("flags", sg.gold(F.col("s")))
+    return rag.segment_chunks(own, "flags", 64, "word").select("doc_id", "chunk_idx", F.md5("chunk").alias("digest"), "n_words", "chunk_id")
+
+
+#: Word counts of column ``x``, hashed into 16 places, at unit length, rounded to six digits.
+_VECTOR = rf"""h as (select id, {_HASH.format("v.w")} % 16 as place, count(*) as n from (select id, unnest(regexp_extract_all(lower(x), '[\p{{L}}\p{{N}}_]+')) as w from texts) v group by all),
+vec as (select t.id, string_agg(printf('%.6f', round(coalesce(h.n / sqrt(e.norm), 0), 9)), ' ' order by b.place) as vector from texts t cross join (select unnest(range(0, 16)) as place) b left join h on h.id = t.id and h.place = b.place left join (select id, sum(n * n) as norm from h group by id) e on e.id = t.id group by t.id)"""
+
+
+def _shown(vector: str):
+    return F.array_join(F.transform(vector, lambda x: F.format_string("%.6f", x)), " ")
+
+
+@_query("v04_hashed_vectors", rf"with texts as (select page_id as id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) as x from pages), {_VECTOR} select id as page_id, vector from vec")
+def _(spark, d):
+    own = _table(spark, d, "pages").select("page_id", rag.hashed_vector(tx.strip_html(F.col("html"))).alias("v"))
+    return own.select("page_id", _shown("v").alias("vector"))
+
+
+def _index(spark: SparkSession, d: str) -> DataFrame:
+    own = sg.sentence_arrays(_docs(spark, d)).withColumn("flags", sg.gold(F.col("s")))
+    path = shared_folder(spark, "index")
+    rag.write_index(rag.chunk_table(rag.segment_chunks(own, "flags", 64, "word")), path)
+    return rag.read_index(spark, path)
 
 
-@_query("v03_word_chunks")
+@_query("v06_chunk_rows", f"with {_WORD_CHUNKS}, k as (select doc_id, chunk_idx, string_agg(word, ' ' order by pos, i) as chunk from parts group by all), texts as (select sha256(doc_id::varchar || ':' || chunk_idx::varchar) as id, doc_id, chunk, chunk as x from k), {_VECTOR} select t.id, t.doc_id, md5(t.chunk) as digest, vector as embedding from texts t join vec using (id)")
 def _(spark, d):
     own = sg.sentence_arrays(_docs(spark, d)).withColumn("flags", sg.gold(F.col("s")))
-    return rag.segment_chunks(own, "flags", 64, "word")
+    return rag.chunk_table(rag.segment_chunks(own, "flags", 64, "word")).select("id", "doc_id", F.md5("chunk").alias("digest"), _shown("embedding").alias("embedding"))
 
 
-@_query("v04_hashed_vectors")
+@_query("v07_index_table", f"with {_WORD_CHUNKS}, k as (select doc_id, count(distinct chunk_idx) as n from parts group by doc_id) select doc_id, cast(n as bigint) as n_chunks, cast(16 * n as bigint) as numbers from k")
 def _(spark, d):
-    return _table(spark, d, "pages").select("page_id", rag.hashed_vector(F.col("url")).alias("vector"))
+    return _index(spark, d).groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.sum(F.size("embedding")).cast("long").alias("numbers"))
 
 
 @_query("v08_nearest", "with q as (select * from embeddings where vec_id % 20 = 0), p as (select q.vec_id as query_id, e.vec_id as neighbour_id, list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda z: (z[1]::double - z[2]::double) * (z[1]::double - z[2]::double))) as dist from q join embeddings e on q.vec_id <> e.vec_id) select query_id, neighbour_id, round(dist, 6) as distance, rank from (select *, row_number() over (partition by query_id order by dist, neighbour_id) as rank from p) where rank <= 5")
