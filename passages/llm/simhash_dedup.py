@@ -1,30 +1,31 @@
 """SimHash near-duplicates: sharded BK-trees over distinct fingerprints, then connected components.
 
-Two 64-bit fingerprints within 4 bits differ in at most 4 of 6 blocks, so they agree on some 2 blocks (21 bits or more).
-Each fingerprint joins 15 shards, one for every pair of blocks; a shard's fingerprints form a BK-tree whose children
-are keyed by integer Hamming distance to the parent, and a search follows only the edges within the radius.
-Trees are built where their shard lies, since shards of a large corpus have no bound under which they could be
-broadcast.  A shard of over ``tree_rows`` fingerprints is split by the same rule on the bits that its members do not
-share yet, so no link is lost and no tree outgrows its task.  A tree emits links that span its groups, never all pairs.
+Two 64-bit fingerprints within 4 bits differ in at most 4 of 5 blocks, so they agree on one block (12 bits or more).
+Each fingerprint joins 5 shards, one for each block; a shard's fingerprints form a BK-tree whose children are keyed by
+integer Hamming distance to the parent, and a search follows only the edges within the radius.
+Trees are built where their shard lies: to be broadcast they would have to pass through the driver, which is not to hold
+the fingerprints of all documents.  A shard of over ``tree_rows`` fingerprints is split by the same rule on the bits that
+its members do not share yet, so no link is lost and no tree outgrows its task.  A tree emits links that span its groups,
+never all pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passages.llm.common import bounded_batches, cut, drop_cut, id_and_text, words_of
+from passages.llm.common import bounded_batches, cut, drop_cut, id_and_text, small, words_of
 
 RADIUS = 4
 WORDS = 4
 TREE_ROWS = 20_000
+#: Trees of more fingerprints are built and searched for many at a time.
+SMALL_TREE = 256
 _UPPER = {c: c + 32 for c in range(65, 91)}
-_FULL = (1 << 64) - 1
 
 
 def lower_ascii(text: str) -> str:
@@ -75,14 +76,45 @@ def _signed(x: int) -> int:
 def _sub_masks(mask: int, radius: int) -> list[int]:
     """Masks that share all of ``mask``; fingerprints within the radius that agree on it agree on one of these too."""
     free = [b for b in range(64) if not mask >> b & 1]
-    blocks = [sum(1 << b for b in free[i :: radius + 2]) for i in range(radius + 2)]
-    return [mask | a | b for a, b in combinations(blocks, 2)]
+    blocks = [sum(1 << b for b in free[i :: radius + 1]) for i in range(radius + 1)]
+    return [mask | b for b in blocks]
+
+
+class SmallTree:
+    """A BK-tree that grows by one fingerprint at a time: children keyed by Hamming distance to the parent."""
+
+    def __init__(self) -> None:
+        self.fps: list[int] = []
+        self.children: list[dict[int, int]] = []
+        self.compared = 0
+
+    def add(self, fp: int, radius: int) -> list[int]:
+        """Put a fingerprint in; the places of those before it within the radius."""
+        new, found = len(self.fps), []
+        self.fps.append(fp)
+        self.children.append({})
+        stack = [0] if new else []
+        while stack:
+            at = stack.pop()
+            d = (self.fps[at] ^ fp).bit_count()
+            self.compared += 1
+            if d <= radius:
+                found.append(at)
+            stack += [child for edge, child in self.children[at].items() if d - radius <= edge <= d + radius]
+        at = 0
+        while new:
+            d = (self.fps[at] ^ fp).bit_count()
+            if d not in self.children[at]:
+                self.children[at][d] = new
+                break
+            at = self.children[at][d]
+        return found
 
 
 class BKTree:
     """Children keyed by Hamming distance to the parent.  Built and searched for many fingerprints at a time."""
 
-    LEAF = 48
+    LEAF = 8
 
     def __init__(self, fps: np.ndarray):
         self.fps = fps
@@ -138,9 +170,11 @@ def spanning_links(fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, n
             while not np.array_equal(up := label[label], label):
                 label[:] = up
 
-    if n <= BKTree.LEAF:
-        a, b = np.nonzero(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= radius)
-        merge(a, b)
+    if n <= SMALL_TREE:
+        tree = SmallTree()
+        pairs = [(i, j) for i, fp in enumerate(fps.tolist()) for j in tree.add(fp, radius)]
+        if pairs:
+            merge(*np.array(pairs).T)
     else:
         for b in range(64):  # the closest pairs first: whole clusters become one before the trees are searched
             rest = fps & ~np.uint64(1 << b)
@@ -166,15 +200,12 @@ def _tree_links(radius: int):
             edges = np.flatnonzero(np.r_[True, (path[1:] != path[:-1]) | (key[1:] != key[:-1]), True])
             a_out, b_out = [], []
             for a, b in zip(edges[:-1], edges[1:], strict=True):
-                if b - a == 2:
-                    if int(fp[a] ^ fp[a + 1]) & _FULL and (int(fp[a] ^ fp[a + 1]) & _FULL).bit_count() <= radius:
-                        a_out.append(fp[a + 1 : b])
-                        b_out.append(fp[a : a + 1])
-                elif b - a > 2:
+                if b - a > 1:
                     own = np.unique(fp[a:b].view(np.uint64))
                     x, y = spanning_links(own, radius)
-                    a_out.append(own[x].view(np.int64))
-                    b_out.append(own[y].view(np.int64))
+                    if len(x):
+                        a_out.append(own[x].view(np.int64))
+                        b_out.append(own[y].view(np.int64))
             if a_out:
                 return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a_out)), pa.array(np.concatenate(b_out))], names=["a", "b"])
             return None
@@ -199,7 +230,7 @@ def near_links(fps: DataFrame, radius: int = RADIUS, tree_rows: int = TREE_ROWS)
     bounded_batches(fps.sparkSession, 8192)
     masks, found = {0: 0}, []
     rows = fps.select(F.lit(0).cast("long").alias("path"), F.lit(0).cast("long").alias("key"), "fp")
-    fan = (radius + 2) * (radius + 1) // 2
+    fan = radius + 1
     while True:
         below = {p: _sub_masks(m, radius) for p, m in masks.items()}
         masks = {p * fan + i + 1: m for p, ms in below.items() for i, m in enumerate(ms)}
@@ -269,11 +300,13 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = WORDS, t
     component_id is null only where all its doc_ids are.  Rows that repeat a doc_id are rows of their own; an empty
     table gives no rows; further columns of ``docs`` are not read.
     """
+    spark = docs.sparkSession
     own, _ = cut(fingerprints(docs, words))
     distinct, at = cut(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(near_links(distinct.select("fp"), radius, tree_rows))
-    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named, at_named = cut(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     labels, _ = cut(named.select("fp", "root").join(least, "root").select("fp", "component_id"))
+    drop_cut(spark, at, at_named)
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return own.join(labels, "fp").select("doc_id", "fp", hexed.alias("fingerprint"), "component_id")
+    return own.join(small(labels), "fp").select("doc_id", "fp", hexed.alias("fingerprint"), "component_id")
