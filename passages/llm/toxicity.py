@@ -5,13 +5,15 @@ of the span it covers (6 letters at most; a word's start and its end count as le
 weaken a match.  Symbols inside a word are dropped, letters spaced out one by one are joined, and digits read as the
 letters they imitate.
 
-Sentences are the labelled units: every sentence of a clean document is clean, and each toxic document has one sentence at
-least that is toxic, the one with its highest-scoring word (re-chosen in every round).  A sentence is as toxic as its
-worst word, and a document as its worst sentence.  The machine is trained on Nyström features over landmark words; since
-the kernel is an inner product, the trained machine folds exactly into one weight for each subsequence, and scoring is a
-table look-up along the text.
-
-Training takes at most ``max_toxic`` and ``max_clean`` labelled documents, the first by a hash of their doc_id.
+Labels are of documents, and the machine is trained on words, not on sentences: every word of a clean document is clean, and
+each toxic document has one word at least that is toxic, its highest-scoring one (re-chosen in every round).  A document is
+as toxic as its worst word, so an insult made of several harmless words is not seen.  The machine is trained on Nyström
+features over landmark words; since the kernel is an inner product, the trained machine folds exactly into one weight for
+each subsequence, and scoring is a table look-up along the text.
+
+Training takes at most ``max_toxic`` and ``max_clean`` labelled documents, the first by a hash of their doc_id, and of their
+words at most ``max_witnesses`` (the commonest toxic ones), ``max_pool`` (clean ones at random) and in each round
+``max_hard`` (the clean ones that score highest) more.  Scoring takes whole words of whole texts.
 """
 
 from __future__ import annotations
@@ -32,6 +34,9 @@ SPAN = 6
 MAX_TOXIC = 1000
 MAX_CLEAN = 4000
 LANDMARKS = 384
+MAX_POOL = 4000
+MAX_WITNESSES = 1500
+MAX_HARD = 3000
 #: Letters that are scored at a time.
 _PART = 1 << 18
 #: Codes past the 26 letters: a word's start, and letters with acute, grave, other marks, and the rest; a word's end is 0.
@@ -163,14 +168,16 @@ def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
     phi = np.zeros((len(known) + 1, len(landmarks)), np.float32)
     np.add.at(phi, (np.searchsorted(known, keys), rows), values)
     out = np.zeros((len(words), len(landmarks)))
-    for at in range(0, len(words), 1000):
-        rows, keys, values = subsequences(words[at : at + 1000])
-        where = np.minimum(np.searchsorted(known, keys), len(known) - 1) if len(known) else np.zeros(len(keys), int)
-        some = np.flatnonzero(known[where] == keys) if len(known) else []
-        if len(some):
-            rows = rows[some]
-            first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-            out[at + rows[first]] = np.add.reduceat(phi[where[some]] * values[some, None].astype(np.float32), first)
+    if not len(known):
+        return out
+    for at, end in groups_by_size(words, 4000):
+        rows, keys, values = subsequences(words[at:end])
+        where = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        some = np.flatnonzero(known[where] == keys)
+        for part in np.array_split(some, len(some) // 20_000 + 1):  # long words too in bounded parts
+            if len(part):
+                first = np.flatnonzero(np.r_[True, rows[part][1:] != rows[part][:-1]])
+                out[at + rows[part][first]] += np.add.reduceat(phi[where[part]] * values[part, None].astype(np.float32), first)
     return out
 
 
@@ -223,8 +230,11 @@ def _first_guess(words: list[set[str]], clean: list[set[str]]) -> list[str]:
     return out
 
 
-def train(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, rounds: int = 5, seed: int = 7) -> StringKernelSvm:
-    """Fit on labelled texts.  Without both classes every text scores the share of toxic ones."""
+def train(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, rounds: int = 5, seed: int = 7, max_pool: int = MAX_POOL, max_witnesses: int = MAX_WITNESSES, max_hard: int = MAX_HARD) -> StringKernelSvm:
+    """Fit on labelled texts.  Without both classes every text scores the share of toxic ones.
+
+    The last three bound the words that the machine is fitted on: clean ones at random, toxic ones, and clean ones of a round that score highest.
+    """
     y = np.array(toxic)
     if not len(y) or y.min() == y.max():
         p = float(np.clip(y.mean() if len(y) else 0.0, 1e-6, 1 - 1e-6))
@@ -235,16 +245,16 @@ def train(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, rounds
     def by_text(own: Letters) -> list[set[str]]:
         out: list[set[str]] = [set() for _ in range(own.n)]
         for k, d in enumerate(own.owner.tolist()):
-            out[d].add(own.word(k)[:24])
+            out[d].add(own.word(k))
         return [{w for w in t if w} for t in out]
 
     bad_words, good_words = by_text(bad), by_text(good)
     every = sorted(set().union(*good_words))
-    pool = [every[i] for i in rng.permutation(len(every))[:4000]]
+    pool = [every[i] for i in rng.permutation(len(every))[:max_pool]]
     guess = witness = _first_guess(bad_words, good_words)
     hard: list[str] = []
     for _ in range(rounds):
-        positive = [w for w, _n in Counter(witness).most_common(1500)]
+        positive = [w for w, _n in Counter(witness).most_common(max_witnesses)]
         negative = sorted((set(pool) | set(hard)) - set(positive))
         marks = [*positive[: landmarks // 2], *negative[:: max(1, len(negative) // (landmarks - min(len(positive), landmarks // 2)))]][:landmarks]
         kmm = kernel(marks, marks)
@@ -259,8 +269,8 @@ def train(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, rounds
         np.add.at(weights, keys, values * (root @ w)[rows])
         top_bad, word_bad = bad.text_scores(weights.astype(np.float32))
         top_good, word_good = good.text_scores(weights.astype(np.float32))
-        witness = guess + [bad.word(k)[:24] for k in np.flatnonzero((word_bad == top_bad[bad.owner]) | (word_bad + offset > 1))]
-        hard = sorted({*hard, *(good.word(int(k))[:24] for k in np.argsort(-word_good)[:3000])} - {""})
+        witness = guess + [bad.word(k) for k in np.flatnonzero((word_bad == top_bad[bad.owner]) | (word_bad + offset > 1))]
+        hard = sorted({*hard, *(good.word(int(k)) for k in np.argsort(-word_good)[:max_hard])} - {""})
     margin = np.r_[top_bad, top_good] + offset
     margin = np.where(np.isfinite(margin), margin, -1.0)
     t = np.r_[np.full(len(top_bad), (len(top_bad) + 1) / (len(top_bad) + 2)), np.full(len(top_good), 1 / (len(top_good) + 2))]
