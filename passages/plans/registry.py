@@ -728,13 +728,14 @@ def _(spark, d):
     return rag.segment_chunks(own, "flags", 64, "word").select("doc_id", "chunk_idx", F.md5("chunk").alias("digest"), "n_words", "chunk_id")
 
 
-#: Word counts of column ``x``, hashed into 16 places, at unit length, rounded to six digits.
+#: Word counts of column ``x``, hashed into 16 places, at unit length, in millionths.
 _VECTOR = rf"""h as (select id, {_HASH.format("v.w")} % 16 as place, count(*) as n from (select id, unnest(regexp_extract_all(lower(x), '[\p{{L}}\p{{N}}_]+')) as w from texts) v group by all),
-vec as (select t.id, string_agg(printf('%.6f', round(coalesce(h.n / sqrt(e.norm), 0), 9)), ' ' order by b.place) as vector from texts t cross join (select unnest(range(0, 16)) as place) b left join h on h.id = t.id and h.place = b.place left join (select id, sum(n * n) as norm from h group by id) e on e.id = t.id group by t.id)"""
+vec as (select t.id, string_agg(cast(floor(round(coalesce(h.n / sqrt(e.norm), 0), 9) * 1e6 + 0.1234567) as bigint)::varchar, ' ' order by b.place) as vector from texts t cross join (select unnest(range(0, 16)) as place) b left join h on h.id = t.id and h.place = b.place left join (select id, sum(n * n) as norm from h group by id) e on e.id = t.id group by t.id)"""
 
 
 def _shown(vector: str):
-    return F.array_join(F.transform(vector, lambda x: F.format_string("%.6f", x)), " ")
+    """Millionths, cut where no number of nine digits lies."""
+    return F.array_join(F.transform(vector, lambda x: F.floor(x * 1e6 + 0.1234567).cast("string")), " ")
 
 
 @_query("v04_hashed_vectors", rf"with texts as (select page_id as id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) as x from pages), {_VECTOR} select id as page_id, vector from vec")
