@@ -52,7 +52,7 @@ def keep_sentences(s: Column) -> Column:
         return F.struct(
             F.when(keep, F.array_append(a["kept"], x)).otherwise(a["kept"]).alias("kept"),
             (a["lists"] + F.when(item | (bare & ~a["after"]), 1).otherwise(0)).alias("lists"),
-            F.when(item, True).when(bare, a["after"]).otherwise(False).alias("after"),
+            F.when(item | bare, True).otherwise(False).alias("after"),
             (a["n"] + one).alias("n"),
             (a["formulas"] + one * occurrences(x, FORMULA_TOKEN)).alias("formulas"),
             (a["codes"] + one * occurrences(x, CODE_TOKEN)).alias("codes"),
@@ -69,6 +69,17 @@ def section_verdict(letters: Column, n: Column, lists: Column, formulas: Column,
     return out
 
 
+def filtered_section(s: Column) -> Column:
+    """Struct of kept, n, lists, formulas, codes, letters (of the kept sentences) and reason of one section's sentences."""
+
+    def judged(k: Column) -> Column:
+        letters = letter_count(F.array_join(k["kept"], ""))
+        reason = section_verdict(letters, k["n"], k["lists"], k["formulas"], k["codes"])
+        return F.struct(k["kept"].alias("kept"), *(k[c].alias(c) for c in ("n", "lists", "formulas", "codes")), letters.alias("letters"), reason.alias("reason"))
+
+    return let(keep_sentences(s), judged)
+
+
 def letter_count(text: Column) -> Column:
     return F.length(F.regexp_replace(text, "[^a-zA-Z]", ""))
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passages.functions import markup
@@ -222,6 +223,56 @@ def _(spark, d):
     return _dump(spark, d).select("page_id", "title", "ns", F.md5("text").alias("digest"))
 
 
+@_query("s02_siteinfo", "select 'http://e/wiki' as base, cast(n_nationkey as int) as key, n_name as name from nation")
+def _(spark, d):
+    names = _table(spark, d, "nation").select(F.concat(F.lit('<namespace key="'), "n_nationkey", F.lit('">'), "n_name", F.lit("</namespace>")).alias("x"))
+    head = names.agg(F.concat(F.lit("<mediawiki><siteinfo><base>http://e/wiki/Main</base><namespaces>"), F.array_join(F.collect_list("x"), ""), F.lit("</namespaces></siteinfo></mediawiki>")).alias("value"))
+    base, own = readers.read_siteinfo(spark, _written(spark, "site", lambda path: head.write.text(path)))
+    return spark.createDataFrame([(base, k, v) for k, v in own.items()], "base string, key int, name string")
+
+
+@_query("s07_single_articles", "select 'a' || doc_id as title, md5(text) as digest from documents where doc_id < 15")
+def _(spark, d):
+    few = _docs(spark, d).where("doc_id < 15").select(F.concat(F.lit("a"), "doc_id").alias("file"), F.col("text").alias("value"))
+    path = _written(spark, "articles", lambda path: few.repartition("file").write.option("lineSep", "\u0001").partitionBy("file").text(path))
+    own = readers.read_article(spark, path).join(readers.read_texts(spark, path), "text")
+    return own.select(F.regexp_extract("path", "/file=([^/]+)/", 1).alias("title"), F.md5(F.replace("text", F.lit("\u0001"), F.lit(""))).alias("digest"))
+
+
+@_query("s09_sizes", "select text, cast(n as bigint) as n from (values ('500K', 512000), ('1M', 1048576), ('2G', 2147483648), ('204800', 204800), ('3m', 3145728)) v(text, n)")
+def _(spark, d):
+    return spark.createDataFrame([(x, readers.size_in_bytes(x)) for x in ("500K", "1M", "2G", "204800", "3m")], "text string, n long")
+
+
+@_query("s15_ref_listing", "select (3 + doc_id % 3) || '-11' as length, doc_id::varchar as name from documents where doc_id < 12")
+def _(spark, d):
+    few = _docs(spark, d).where("doc_id < 12").select(F.concat((3 + F.col("doc_id") % 3).cast("string"), F.lit("-11")).alias("length"), F.col("doc_id").cast("string").alias("name"), F.lit("one sentence .\n==========\nanother one .").alias("value"))
+    path = shared_folder(spark, "ref")
+    for suffix in (".ref", ".txt"):  # a file for each row, renamed by the driver
+        few.repartition("length", "name").write.partitionBy("length", "name").mode("append").text(f"{path}{suffix}")
+    where = spark._jvm.org.apache.hadoop.fs.Path
+    files = where(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for row in few.select("length", "name").collect():  # twelve
+        for suffix in (".ref", ".txt"):
+            (part,) = [x.getPath() for x in files.listStatus(where(f"{path}{suffix}/length={row['length']}/name={row['name']}")) if x.getPath().getName().endswith(".txt")]
+            files.mkdirs(where(f"{path}/{row['length']}/a"))
+            files.rename(part, where(f"{path}/{row['length']}/a/{row['name']}{suffix}"))
+    return readers.read_segmented(spark, path).where(F.size("targets") == 2).select(readers.segment_folder(F.col("path")).alias("x")).select("x.length", "x.name")
+
+
+@_query("s31_word_vectors", "select n_name as word, cast(n_nationkey as double) as first, cast(n_regionkey + 0.5 as double) as second from nation")
+def _(spark, d):
+    rows = _table(spark, d, "nation").select("n_name", "n_nationkey", "n_regionkey").collect()  # 25
+    data = f"{len(rows)} 2\n".encode() + b"".join(r["n_name"].encode() + b" " + np.array([r["n_nationkey"], r["n_regionkey"] + 0.5], "<f4").tobytes() + b"\n" for r in rows)
+    path = shared_folder(spark, "vectors")
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where)
+    out.write(data)
+    out.close()
+    own = readers.read_word_vectors(spark, path)
+    return own.select("word", F.col("vec")[0].cast("double").alias("first"), F.col("vec")[1].cast("double").alias("second"))
+
+
 @_query("s04_article_cap", f"with {_PAGES} select page_id, title from p where ns <> 10 order by page_id limit 25")
 def _(spark, d):
     return readers.articles(_dump(spark, d), 25).select("page_id", "title")
@@ -311,6 +362,14 @@ def _(spark, d):
     return readers.read_annotations(spark, path, "a").select("annotator", "doc_id", "sent_idx", "cut", F.md5(F.trim("sentence")).alias("digest"))
 
 
+@_query("s21_annotator_cuts", f"with {_SOME} select 'b' as annotator, doc_id, cast(count(*) as bigint) as n, cast(sum(case when pos % 4 = 3 then 1 else 0 end) as bigint) as cuts from s group by doc_id")
+def _(spark, d):
+    cut = F.when(F.col("sent_idx") % 4 == 3, "1").otherwise("")
+    filled = _sentence_rows(spark, d).select("sent_idx", cut.alias("cut"), F.concat(F.lit('a "quoted", text\nof two lines '), "sentence").alias("sentence"), "doc_id")
+    path = _written(spark, "cuts", lambda path: filled.write.partitionBy("doc_id").option("header", "true").option("escape", '"').csv(path))
+    return readers.read_annotations(spark, path, "b").groupBy("annotator", "doc_id").agg(F.count("*").alias("n"), F.sum("cut").alias("cuts"))
+
+
 @_query("s20_plain_text", f"with {_SOME} select doc_id, cast(count(*) as bigint) as lines, cast(sum(length(sentence)) as bigint) as chars from s group by doc_id")
 def _(spark, d):
     path = _written(spark, "plain", lambda path: readers.write_plain(_sentence_rows(spark, d), path))
@@ -588,6 +647,25 @@ def _(spark, d):
     return corpus.valid_articles(_sections(_docs(spark, d)))
 
 
+#: Sections and their kept sentences, n, lists, formulas, codes, letters and the reason against them.
+_SECTION_CASES = [
+    (["Two words here.", "***LIST***.", "***LIST***.", "One.", "Last words come now."], "Two words here.|***LIST***.|Last words come now.", 3, 1, 0, 0, 32, None),
+    (["Only one sentence with letters enough."], "Only one sentence with letters enough.", 1, 0, 0, 0, 32, "sentences"),
+    (["A first sentence that is long.", "***LIST***.", "more ***LIST*** text", "Second one that is long."], "A first sentence that is long.|***LIST***.|Second one that is long.", 3, 2, 0, 0, 47, "lists"),
+    (["Ab cd.", "Ef gh."], "Ab cd.|Ef gh.", 2, 0, 0, 0, 8, "letters"),
+    (["One ***formula*** and ***formula*** here.", "Then ***formula*** again."], "One ***formula*** and ***formula*** here.|Then ***formula*** again.", 2, 0, 3, 0, 40, "formulas"),
+    (["Some ***codice*** and ***codice*** with words.", "Another sentence here."], "Some ***codice*** and ***codice*** with words.|Another sentence here.", 2, 0, 0, 2, 47, "code"),
+    ([], "", 0, 0, 0, 0, 0, "letters"),
+]
+
+
+@_query("f04_section_filter", "select cast(id as bigint) as id, kept, cast(n as int) as n, cast(lists as int) as lists, cast(formulas as int) as formulas, cast(codes as int) as codes, cast(letters as int) as letters, reason from (values " + ", ".join(f"({i}, '{kept}', {n}, {lists}, {formulas}, {codes}, {letters}, {repr(reason) if reason else 'null'})" for i, (_, kept, n, lists, formulas, codes, letters, reason) in enumerate(_SECTION_CASES)) + ") v(id, kept, n, lists, formulas, codes, letters, reason)")
+def _(spark, d):
+    rows = spark.createDataFrame([(i, c[0]) for i, c in enumerate(_SECTION_CASES)], "id long, s array<string>")
+    own = rows.select("id", corpus.filtered_section(F.col("s")).alias("x")).select("id", "x.*")
+    return own.withColumn("kept", F.array_join("kept", "|"))
+
+
 _LEVELS = "u as (select doc_id, v.p as i, v.v as line, case when length(v.v) < 60 then 2 + length(v.v) % 3 end as level from documents, unnest(string_split(text, chr(10))) with ordinality v(v, p))"
 
 

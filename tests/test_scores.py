@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from passages.functions import text as tx
-from passages.operators import corpus, learned, rag
+from passages.operators import corpus, learned, rag, timers
 from passages.operators import segments as sg
 from passages.operators.ranks import with_total_before
 from passages.streaming import ingest
@@ -148,3 +148,13 @@ def test_stream_equals_batch(spark, tmp_path):
     query = ingest.sentence_stream(spark, str(tmp_path / "in"), ).writeStream.format("memory").queryName("sentences").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     assert query.awaitTermination(120)
     assert sorted(map(tuple, spark.table("sentences").collect())) == sorted(map(tuple, sg.sentences(docs).collect()))
+
+
+def test_stage_timers(spark):
+    own = timers.StageTimers(spark)
+    for _ in range(2):
+        with own.stage("count"):
+            assert spark.range(5).count() == 5
+    with pytest.raises(ZeroDivisionError), own.stage("fails"):
+        1 / 0
+    assert list(own.seconds) == ["count", "fails"] and own.report().startswith("count: ")
