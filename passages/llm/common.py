@@ -42,17 +42,19 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(3)) == 1
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, value: int, most: int) -> DataFrame:
-    """doc_id, text of at most ``most`` documents that ``labels`` marks ``value`` and that are not held out, first by a hash of doc_id.
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: dict[int, int]) -> DataFrame:
+    """doc_id, label, text of at most ``most[value]`` documents that ``labels`` marks with each value and that are not held out, first by a hash of doc_id.
 
-    The ids are chosen without the texts, so that texts are read only of the few documents that were chosen.  A repeated
-    doc_id counts once, with the smallest of its texts.
+    The ids are chosen without the texts, so that texts are read once and only of the few documents that were chosen.  A
+    repeated doc_id counts once for each of its labels, with the smallest of its texts.
     """
-    known = labels.select("doc_id", F.col(label).cast("int").alias("_label")).where(F.col("doc_id").isNotNull() & (F.col("_label") == value)).where(~held_out()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    there = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    first = known.join(there, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    ids = docs.sparkSession.createDataFrame(first.collect(), "doc_id long")  # bounded by ``most``
-    return id_and_text(docs).join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+    spark = docs.sparkSession
+    known = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isin(*most)).where(~held_out()).select(F.col("doc_id").cast("long").alias("doc_id"), "label").distinct()
+    there, at = cut(known.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+    chosen = [tuple(r) for value, n in most.items() for r in there.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).collect()]  # bounded by ``most``
+    drop_cut(spark, at)
+    ids = spark.createDataFrame(chosen, "doc_id long, label int")
+    return id_and_text(docs).join(F.broadcast(ids), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -124,24 +124,22 @@ def fit(x: np.ndarray, y: np.ndarray, shrink: float = SHRINK) -> Qda | Constant:
 
 
 def _with_statistics(rows: DataFrame) -> DataFrame:
-    """doc_id, x: the statistics of each row of (doc_id, text)."""
+    """doc_id, label, x: the statistics of each row of (doc_id, label, text)."""
     bounded_batches(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [statistics(t).tolist() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "x"])
+            x = [statistics(t).tolist() for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "label", "x"])
 
-    return rows.select("doc_id", "text").mapInArrow(run, "doc_id long, x array<double>")
+    return rows.select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, x array<double>")
 
 
 def train_on(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Qda | Constant:
     """Fit on the labelled documents that are not held out, at most ``max_rows`` of each class; the driver gets only their statistics."""
-    x, y = [], []
-    for value in (0, 1):
-        for row in sorted(_with_statistics(training_rows(docs, labels, "quality", value, max_rows)).collect()):  # bounded
-            x.append(row["x"])
-            y.append(value)
+    rows = _with_statistics(training_rows(docs, labels, "quality", {0: max_rows, 1: max_rows})).collect()  # bounded
+    rows.sort(key=lambda r: (r["label"], r["doc_id"]))
+    x, y = [r["x"] for r in rows], [r["label"] for r in rows]
     return fit(np.array(x).reshape(-1, N_FEATURES), np.array(y))
 
 

@@ -1,7 +1,7 @@
 """Line-first cleaning with DataFrame expressions only.
 
 Every line with a word is held against punctuation, navigation, symbol and boilerplate rules; lines that fail go, and a
-document that loses more than ``most_lost`` of its words is rejected.  Base rules on the whole text come before.
+document that loses more than ``most_lost`` of the characters of its lines is rejected.  Base rules on the whole text come before.
 """
 
 from __future__ import annotations
@@ -116,7 +116,8 @@ def quality_rules(docs: DataFrame, most_lost: float = MOST_LOST) -> DataFrame:
 def clean_lines(docs: DataFrame, most_lost: float = MOST_LOST) -> DataFrame:
     """docs without the rows that the rules reject and, in the others' text, without the lines that fail.
 
-    Lines without a word stay.  n_chars, where there is one, is the new text's length; the other columns stay as they are.
+    Null, empty and wordless texts are rejected; a null doc_id stays null; rows that repeat are judged one by one; an empty
+    table stays empty.  Lines without a word stay.  n_chars, where there is one, is the new text's length; the other columns stay as they are.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
@@ -132,6 +133,6 @@ def clean_lines(docs: DataFrame, most_lost: float = MOST_LOST) -> DataFrame:
 
 
 def cleaned_text(docs: DataFrame) -> DataFrame:
-    """docs with column clean_text: the lines that pass, in order."""
+    """docs with column clean_text: the lines that pass, in order; that of a null or empty text is empty.  All rows stay."""
     lines = F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]") & line_is_kept(x))
     return docs.withColumn("clean_text", F.array_join(lines, "\n"))

@@ -285,12 +285,9 @@ def train(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, rounds
 
 def train_on(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> StringKernelSvm:
     """Fit on the labelled documents that are not held out: at most the two bounds, first by a hash of doc_id."""
-    texts, toxic = [], []
-    for value, most in ((1, max_toxic), (0, max_clean)):
-        for row in sorted(training_rows(docs, labels, "toxic", value, most).collect()):  # bounded
-            texts.append(row["text"])
-            toxic.append(value)
-    return train(texts, toxic)
+    rows = training_rows(docs, labels, "toxic", {1: max_toxic, 0: max_clean}).collect()  # bounded
+    rows.sort(key=lambda r: (-r["label"], r["doc_id"]))
+    return train([r["text"] for r in rows], [r["label"] for r in rows])
 
 
 def toxicity(docs: DataFrame, model: StringKernelSvm, threshold: float = 0.7) -> DataFrame:
