@@ -6,6 +6,10 @@ their sizes allow s and enough shingles are left after the place where they meet
 Jaccard similarity of their sets of 64-bit shingle hashes.  The order comes from counts in a sample of the texts, which
 decides how many candidates there are, never which pairs are found.
 
+The first candidates are the links that BK-trees find between the texts' SimHash fingerprints over the same shingles, within
+the radius of ``simhash_dedup``; they are verified like all others.  A similarity of 0.8 leaves fingerprints about 10 bits
+apart, for which the trees' blocks get too wide, so what the trees cannot reach is left to the prefixes.
+
 Of the texts that meet at one shingle one is the star, the first in a hashed order.  In each of ``ROUNDS`` rounds, with
 another order each, every text is held against the star that it meets most often; shingles whose texts the links connect
 are done with.  Of the texts that are not connected after that, pairs are compared one by one, but for those that the
@@ -24,7 +28,7 @@ from pyspark.sql import functions as F
 
 from passages.llm.common import bounded_batches, cut, drop_cut, give_back, small, words_of
 from passages.llm.decontamination import shingle_hashes
-from passages.llm.simhash_dedup import components, lower_ascii
+from passages.llm.simhash_dedup import bit_counts, components, lower_ascii, near_links
 
 WORDS = 5
 #: Least similarity as a fraction.
@@ -65,6 +69,11 @@ def parities(h: np.ndarray) -> bytes:
     return np.packbits((np.bincount((h & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS) & 1).astype(np.uint8)).tobytes()
 
 
+def simhash(h: np.ndarray) -> int:
+    """The 64-bit fingerprint of a set: a bit is set if it is set in over half of the hashes; no hashes: 0."""
+    return int(np.packbits(2 * bit_counts(h) > len(h)).view(">u8")[0])
+
+
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether two sorted sets reach the least similarity."""
     both = len(np.intersect1d(a, b, assume_unique=True))
@@ -89,7 +98,7 @@ def _common(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefixes(rows: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """row, doc_id, sig (of the set), n (its size), bits (its parities), prefix of each row."""
+    """row, doc_id, sig (of the set), n (its size), bits (its parities), fp (its SimHash as a signed long), prefix of each row."""
     told = rows.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,7 +106,7 @@ def _prefixes(rows: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFra
 
         hashes, (known, count) = hasher(), told.value
         for batch in batches:
-            sig, size, bits, prefix = [], [], [], []
+            sig, size, bits, fp, prefix = [], [], [], [], []
             for t in batch.column(2).to_pylist():
                 h = hashes(t)
                 weight = np.zeros(len(h), np.int64)
@@ -108,12 +117,13 @@ def _prefixes(rows: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFra
                 sig.append(xxhash.xxh128_digest(h.tobytes()))
                 size.append(n)
                 bits.append(parities(h))
+                fp.append(simhash(h))
                 prefix.append(h[np.lexsort((h, weight))[: n - -(-NUM * n // DEN) + 1]].view(np.int64))
-            arrays = [batch.column(0), batch.column(1), pa.array(sig, pa.binary()), pa.array(size, pa.int32()), pa.array(bits, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["row", "doc_id", "sig", "n", "bits", "prefix"])
+            arrays = [batch.column(0), batch.column(1), pa.array(sig, pa.binary()), pa.array(size, pa.int32()), pa.array(bits, pa.binary()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(prefix, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["row", "doc_id", "sig", "n", "bits", "fp", "prefix"])
         give_back()
 
-    return rows.mapInArrow(run, "row long, doc_id long, sig binary, n int, bits binary, prefix array<long>")
+    return rows.mapInArrow(run, "row long, doc_id long, sig binary, n int, bits binary, fp long, prefix array<long>")
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
@@ -141,10 +151,17 @@ def _pair(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def _mixed(shared: DataFrame, links: DataFrame | None) -> DataFrame:
+def _simhash_pairs(texts: DataFrame) -> DataFrame:
+    """Pairs of the texts (node, fp): those of one fingerprint with the first of them, and firsts whose fingerprints BK-trees link."""
+    first, _ = cut(texts.groupBy("fp").agg(F.min("node").alias("s")))
+    to = lambda end, name: first.select(F.col("fp").alias(end), F.col("s").alias(name))
+    near = near_links(first.select("fp")).join(to("a", "node"), "a").join(to("b", "s"), "b").select("node", "s")
+    alike = texts.join(first, "fp").where("node <> s").select("node", "s")
+    return near.unionByName(alike).select(*_pair("node", "s")).distinct()
+
+
+def _mixed(shared: DataFrame, links: DataFrame) -> DataFrame:
     """The rows of ``shared`` at shingles whose texts the links do not connect, with c, a name of the text's component."""
-    if links is None:
-        return shared.withColumn("c", F.col("node"))
     known = shared.join(components(links), "node", "left").select("h", "node", "n", "p", F.coalesce("root", "node").alias("c"))
     mixed = known.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("h")
     return known.join(mixed, "h", "left_semi")
@@ -235,18 +252,20 @@ def _near_copies(keyed: DataFrame) -> DataFrame:
     posts = firsts.select(F.col("row").alias("node"), "n", F.posexplode("prefix").alias("p", "h")).select("h", "node", "n", "p")
     met, at_met = cut(posts.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h"))
     shared, at_shared = cut(posts.join(small(met), "h", "left_semi"))
-    links, tested, gone = None, None, []
+    tested, at_tested = cut(_simhash_pairs(firsts.select(F.col("row").alias("node"), "fp")))
+    links, at_links = _verified(tested, rows)
+    gone = [at_tested, at_links]
     for order in range(ROUNDS + 1):
-        shared, at_next = cut(_mixed(shared, links).select("h", "node", "n", "p", "c"))
+        shared, at_next = cut(_mixed(shared, links))
         gone += [at_shared]
         at_shared = at_next
+        if not shared.head(1):
+            break
         pairs = _star_pairs(shared, order) if order < ROUNDS else _other_pairs(shared, own.select(F.col("row").alias("node"), "bits"))
-        pairs, at_pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+        pairs, at_pairs = cut(pairs.join(tested, ["a", "b"], "left_anti"))
         more, at_more = _verified(pairs, rows)
         gone += [at_pairs, at_more]
-        links, tested = (more, pairs) if links is None else (links.unionByName(more), tested.unionByName(pairs))
-        if not shared.head(1):
-            break
+        links, tested = links.unionByName(more), tested.unionByName(pairs)
         shared = shared.drop("c")
     roots = components(links)
     named = sets.join(roots, "node", "left").select("sig", F.coalesce("root", "node").alias("root"))

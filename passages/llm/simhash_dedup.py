@@ -32,7 +32,7 @@ def lower_ascii(text: str) -> str:
     return text.lower() if text.isascii() else text.translate(_UPPER)
 
 
-def _bit_counts(h: np.ndarray) -> np.ndarray:
+def bit_counts(h: np.ndarray) -> np.ndarray:
     """How often each of the 64 bits is set, most significant first."""
     total = np.zeros(64, np.int64)
     for at in range(0, len(h), 1 << 16):
@@ -54,7 +54,7 @@ def fingerprint(text: str, words: int = WORDS, seed: int = 42) -> int:
         starts = np.zeros(len(w) + 1, np.int64)
         np.cumsum([len(x) + 1 for x in w], out=starts[1:])
         h = np.array([hash64(line[a:b], seed) for a, b in zip(starts[:-words].tolist(), (starts[words:] - 1).tolist(), strict=True)], np.uint64)
-    return int(np.packbits(2 * _bit_counts(h) > len(h)).view(">u8")[0])
+    return int(np.packbits(2 * bit_counts(h) > len(h)).view(">u8")[0])
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:

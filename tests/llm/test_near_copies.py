@@ -68,3 +68,36 @@ def test_rows_are_judged_one_by_one(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = [(r["doc_id"], r["text"] or "") for r in corpus_pipeline.near_duplicates(spark, df, "").collect()]
     assert sorted(got, key=str) == sorted([(1, x), (2, y), (None, z), (3, "")], key=str)
+
+
+def test_fingerprints_and_their_trees_find_links(spark, monkeypatch):
+    """Long texts that differ in a word or two are linked by BK-trees over SimHash fingerprints, before any shingle is shared out."""
+    rng = np.random.default_rng(8)
+    docs = {}
+    for k in range(6):
+        base = [f"w{x}" for x in rng.integers(0, 3000, 1500)]
+        for i in range(4):
+            docs[10 * k + i] = " ".join([*base[: 700 + i], f"x{i}", *base[701 + i :]])
+    sets = {i: sorted(t) for i, t in ((i, shingle_dedup.hasher()(t)) for i, t in docs.items())}
+    for h in sets.values():
+        bits = np.array([[int(x) >> b & 1 for b in range(63, -1, -1)] for x in h]).sum(axis=0)
+        assert shingle_dedup.simhash(np.array(h, np.uint64)) == int("".join("1" if 2 * n > len(h) else "0" for n in bits), 2)
+    fp = {i: shingle_dedup.simhash(np.array(h, np.uint64)) for i, h in sets.items()}
+    texts = spark.createDataFrame([(i, x - (1 << 64) if x >> 63 else x) for i, x in fp.items()], "node long, fp long")
+    near = {(a, b) for a in docs for b in docs if a < b and (fp[a] ^ fp[b]).bit_count() <= 4}
+    assert len(near) > 20 and all(a // 10 == b // 10 for a, b in near)
+    found = {(r["a"], r["b"]) for r in shingle_dedup._simhash_pairs(texts).collect()}
+
+    def roots(pairs):
+        at = {i: i for i in docs}
+        for _ in docs:
+            for a, b in pairs:
+                at[a] = at[b] = min(at[a], at[b])
+        return at
+
+    assert roots(found) == roots(near)
+    seen = []
+    verified = shingle_dedup._verified
+    monkeypatch.setattr(shingle_dedup, "_verified", lambda pairs, *rest: (seen.append({(r["a"], r["b"]) for r in pairs.collect()}), verified(pairs, *rest))[1])
+    assert stage(spark, docs) == kept_by_all_pairs(docs)
+    assert len(seen[0]) == len(found)
