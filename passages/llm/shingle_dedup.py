@@ -10,11 +10,12 @@ The first candidates are the links that BK-trees find between the texts' SimHash
 the radius of ``simhash_dedup``; they are verified like all others.  A similarity of 0.8 leaves fingerprints about 10 bits
 apart, for which the trees' blocks get too wide, so what the trees cannot reach is left to the prefixes.
 
-Of the texts that meet at one shingle one is the star, the first in a hashed order.  In each of ``ROUNDS`` rounds, with
-another order each, every text is held against the star that it meets most often; shingles whose texts the links connect
-are done with.  Of the texts that are not connected after that, pairs are compared one by one, but for those that the
-parities of their hashes in ``BINS`` bins set apart: where k parities differ, the sets differ in k hashes at least, and sets
-of similarity s differ in at most (1 - s) / (1 + s) of their hashes together.  What is left out cannot change the components.
+Of the texts that meet at one shingle one is the star, the first in a hashed order, and every text is held against the star
+that it meets most often; shingles whose texts the links connect are done with.  Of the texts that are not connected after
+that, pairs are compared but for those that the parities of their hashes in ``BINS`` bins set apart: where k parities differ,
+the sets differ in k hashes at least, and sets of similarity s differ in at most (1 - s) / (1 + s) of their hashes together.
+At each shingle first only as many pairs are made as connect its texts, fewer than it has texts; all pairs that are left
+are made only where those have not connected them.  What is left out cannot change the components.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from passages.llm.common import bounded_batches, cut, drop_cut, give_back, small, words_of
@@ -36,8 +37,6 @@ NUM, DEN = 4, 5
 #: One text in so many is counted for the order; at most so many common shingles go to every executor.
 SAMPLE = 8
 MOST_COMMON = 1 << 19
-#: Rounds in which texts are held against stars only.
-ROUNDS = 2
 #: Bins whose parities are compared.
 BINS = 512
 #: Texts of one shingle that are held together.
@@ -160,45 +159,90 @@ def _simhash_pairs(texts: DataFrame) -> DataFrame:
     return near.unionByName(alike).select(*_pair("node", "s")).distinct()
 
 
-def _mixed(shared: DataFrame, links: DataFrame) -> DataFrame:
-    """The rows of ``shared`` at shingles whose texts the links do not connect, with c, a name of the text's component."""
-    known = shared.join(components(links), "node", "left").select("h", "node", "n", "p", F.coalesce("root", "node").alias("c"))
-    mixed = known.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("h")
-    return known.join(mixed, "h", "left_semi")
+def _mixed(shared: DataFrame) -> DataFrame:
+    """The rows of ``shared`` (h, node, n, p, c) at shingles whose texts are not all of one component c."""
+    at = Window.partitionBy("h")
+    return shared.withColumn("low", F.min("c").over(at)).withColumn("high", F.max("c").over(at)).where("low <> high").drop("low", "high")
+
+
+def _named(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """``rows`` with c, a name of the component that the links put the text ``node`` into."""
+    return rows.join(small(components(links)), "node", "left").withColumn("c", F.coalesce("root", "node")).drop("root")
 
 
 def _star_pairs(mixed: DataFrame, order: int) -> DataFrame:
     """Each text with the star that it meets most often, of those that are not connected to it yet."""
-    first = mixed.groupBy("h").agg(F.min(F.struct(F.xxhash64(F.lit(order), "node").alias("rank"), F.col("node").alias("s"), F.col("n").alias("sn"), F.col("p").alias("sp"), F.col("c").alias("sc"))).alias("f")).select("h", "f.s", "f.sn", "f.sp", "f.sc")
-    met = mixed.join(first, "h").where("c <> sc").where(_may_be_similar(*map(F.col, ("n", "p", "sn", "sp"))))
+    first = F.min(F.struct(F.xxhash64(F.lit(order), "node").alias("rank"), F.col("node").alias("s"), F.col("n").alias("sn"), F.col("p").alias("sp"), F.col("c").alias("sc"))).over(Window.partitionBy("h"))
+    met = mixed.withColumn("f", first).select("node", "n", "p", "c", "f.s", "f.sn", "f.sp", "f.sc").where("c <> sc").where(_may_be_similar(*map(F.col, ("n", "p", "sn", "sp"))))
     times = met.groupBy("node", "s").agg(F.count("*").alias("k"))
     best = times.groupBy("node").agg(F.max(F.struct("k", F.xxhash64(F.lit(order), "s").alias("rank"), "s"))["s"].alias("s"))
     return best.select(*_pair("node", "s")).distinct()
 
 
-def _other_pairs(shared: DataFrame, bits: DataFrame) -> DataFrame:
-    """``bits``: parities of each node.  Pairs of texts that meet at a shingle and have different c; ``BLOCK`` texts of a shingle at most are held together with as many others."""
-    mixed = shared.groupBy("h").agg(F.count("*").alias("k"), F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("h", F.ceil(F.col("k") / BLOCK).cast("int").alias("k"))
-    own = shared.join(mixed, "h").join(bits, "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
+def _apart(odd: np.ndarray, other: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Whether the parities of sets of n and m hashes rule the similarity out."""
+    return (NUM + DEN) * np.bitwise_count(odd ^ other).sum(axis=1, dtype=np.int64) > (DEN - NUM) * (n + m)
+
+
+def _spanning(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Places of the pairs (i, j) that connect labels which nothing connects yet; ``label`` follows."""
+    taken, at = [np.empty(0, np.int64)], np.arange(len(i))
+    while len(at := at[label[i[at]] != label[j[at]]]):
+        x, y = label[i[at]], label[j[at]]
+        high, first = np.unique(np.maximum(x, y), return_index=True)
+        label[high] = np.minimum(x, y)[first]
+        taken.append(at[first])
+        while not np.array_equal(up := label[label], label):
+            label[:] = up
+    return np.concatenate(taken)
+
+
+def _other_pairs(mixed: DataFrame, bits: DataFrame, whole: bool) -> DataFrame:
+    """Pairs (a, b) of texts that meet at a shingle, have different c and may be similar; ``bits``: n and parities of each node.
+
+    With ``whole`` all of them.  Else of each shingle only as many as connect what all of them would connect, and with a and
+    b null the rows (h, node, n, p) of the texts that have such pairs: what the pairs do not connect is to be looked for there.
+    ``BLOCK`` texts of a shingle at most are held together with as many others.
+    """
+    many = F.ceil(F.count("*").over(Window.partitionBy("h")) / BLOCK).cast("int")
+    own = mixed.withColumn("k", many).join(bits.select("node", "bits"), "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
     others = F.explode(F.sequence(F.lit(0), F.col("k") - 1))
     keyed = own.select("h", "node", "n", "p", "c", "bits", "own", others.alias("other")).select(F.xxhash64("h", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "h", "own", (F.col("own") == F.col("other")).alias("alike"), "node", "n", "p", "c", "bits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["a", "b", "h", "node", "n", "p"]
+        types = [pa.int64()] * 4 + [pa.int32()] * 2
+        rows = lambda *cols: pa.RecordBatch.from_arrays([pa.nulls(len(cols[0] if cols[0] is not None else cols[2]), t) if c is None else pa.array(c.astype(t.to_pandas_dtype())) for c, t in zip(cols, types, strict=True)], names=names)
         for cols, edges in _runs(batches):
             h, block, alike, node, n, p, c = (x.astype(np.int64) for x in cols[1:-1])
             odd = np.frombuffer(b"".join(cols[-1].tolist()), np.uint64).reshape(len(h), BINS // 64)
+            part = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+            order = np.lexsort((c, part))
+            new = np.r_[True, (c[order][1:] != c[order][:-1]) | (part[order][1:] != part[order][:-1])]
+            label = np.empty(len(h), np.int64)
+            label[order] = order[new][np.cumsum(new) - 1]
+            has = np.zeros(len(h), bool)
             for i, j in _later(np.repeat(edges[1:], np.diff(edges))):
                 less, great = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
                 left = np.minimum(n[i] - p[i], n[j] - p[j])
                 ok = (h[i] == h[j]) & (DEN * less >= NUM * great) & ((NUM + DEN) * left >= NUM * (n[i] + n[j])) & (c[i] != c[j])
                 ok &= (alike[i] == alike[j]) & ((alike[i] == 1) == (block[i] == block[j]))
                 i, j = i[ok], j[ok]
-                few = (NUM + DEN) * np.bitwise_count(odd[i] ^ odd[j]).sum(axis=1, dtype=np.int64) <= (DEN - NUM) * (n[i] + n[j])
-                a, b = node[i[few]], node[j[few]]
-                pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["a", "b"])
+                ok = ~_apart(odd[i], odd[j], n[i], n[j])
+                i, j = i[ok], j[ok]
+                has[i] = has[j] = True
+                if not whole:
+                    few = _spanning(label, i, j)
+                    i, j = i[few], j[few]
+                if len(i):
+                    a, b = node[i], node[j]
+                    pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+                    yield rows(pair[0], pair[1], None, None, None, None)
+            if not whole and has.any():
+                yield rows(None, None, h[has], node[has], n[has], p[has])
 
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
+    dealt = keyed.withColumn("_order", F.xxhash64("node")).repartition("key").sortWithinPartitions("key", "_order").drop("_order")
+    return dealt.mapInArrow(run, "a long, b long, h long, node long, n int, p int")
 
 
 def _later(ends: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -215,10 +259,16 @@ def _later(ends: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[np.ndarray,
         yield tuple(map(np.concatenate, zip(*held, strict=True)))
 
 
-def _verified(pairs: DataFrame, rows: DataFrame) -> tuple[DataFrame, str]:
-    """The pairs (a, b) of rows, written, whose texts are similar."""
+def _verified(pairs: DataFrame, rows: DataFrame, bits: DataFrame) -> tuple[DataFrame, str]:
+    """The pairs (a, b) of rows, written, whose texts are similar; pairs that parities set apart are not looked at further."""
     spark = rows.sparkSession
-    need, at_need = cut(pairs.select(F.col("a").alias(_ROW)).unionByName(pairs.select(F.col("b").alias(_ROW))).distinct())
+    ends = lambda pairs: pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (2, 4))
+            odd, other = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(batch.num_rows, BINS // 64) for i in (3, 5))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(~_apart(odd, other, n, m)))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = hasher()
@@ -233,11 +283,18 @@ def _verified(pairs: DataFrame, rows: DataFrame) -> tuple[DataFrame, str]:
             good = pa.array([similar(np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)) for s, t in zip(x, y, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(good)
 
-    own, at_own = cut(rows.select(_ROW, "text").join(small(need), _ROW, "left_semi").mapInArrow(sets, "node long, own binary"))
-    to = lambda end, name: own.select(F.col("node").alias(end), F.col("own").alias(name))
-    both = pairs.join(to("a", "x"), "a").join(to("b", "y"), "b").select("a", "b", "x", "y")
+    all_ends, at_all = cut(ends(pairs))
+    known = bits.join(small(all_ends), "node", "left_semi")
+    to = lambda own, end, *names: own.select(F.col("node").alias(end), *(F.col(c).alias(name) for c, name in zip(own.columns[1:], names, strict=True)))
+    told = pairs.join(to(known, "a", "n", "x"), "a").join(to(known, "b", "m", "y"), "b").select("a", "b", "n", "x", "m", "y")
+    left, at_left = cut(told.mapInArrow(near, "a long, b long"))
+    need, at_need = cut(ends(left))
+    own, at_own = cut(rows.select(_ROW, "text").join(small(need.withColumnRenamed("node", _ROW)), _ROW, "left_semi").mapInArrow(sets, "node long, own binary"))
+    firsts = own.join(small(left.select(F.col("a").alias("node")).distinct()), "node", "left_semi")
+    seconds = own.join(small(left.select(F.col("b").alias("node")).distinct()), "node", "left_semi")
+    both = left.join(to(firsts, "a", "x"), "a").join(to(seconds, "b", "y"), "b").select("a", "b", "x", "y")
     out = cut(both.mapInArrow(check, "a long, b long"))
-    drop_cut(spark, at_need, at_own)
+    drop_cut(spark, at_all, at_left, at_need, at_own)
     return out
 
 
@@ -248,29 +305,37 @@ def _near_copies(keyed: DataFrame) -> DataFrame:
     rows = keyed.select(_ROW, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     own, at_own = cut(_prefixes(rows, _common(rows)))
     sets, at_sets = cut(own.groupBy("sig").agg(F.min("row").alias("node")))
-    firsts = own.join(small(sets.select(F.col("node").alias("row"))), "row", "left_semi")
-    posts = firsts.select(F.col("row").alias("node"), "n", F.posexplode("prefix").alias("p", "h")).select("h", "node", "n", "p")
-    met, at_met = cut(posts.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h"))
-    shared, at_shared = cut(posts.join(small(met), "h", "left_semi"))
-    tested, at_tested = cut(_simhash_pairs(firsts.select(F.col("row").alias("node"), "fp")))
-    links, at_links = _verified(tested, rows)
+    firsts = own.join(small(sets.select(F.col("node").alias("row"))), "row", "left_semi").withColumnRenamed("row", "node")
+    bits = own.select(F.col("row").alias("node"), "n", "bits")
+    tested, at_tested = cut(_simhash_pairs(firsts.select("node", "fp")))
+    links, at_links = _verified(tested, rows, bits)
     gone = [at_tested, at_links]
-    for order in range(ROUNDS + 1):
-        shared, at_next = cut(_mixed(shared, links))
-        gone += [at_shared]
-        at_shared = at_next
+
+    def hold(pairs: DataFrame) -> None:
+        nonlocal links, tested
+        pairs, at_pairs = cut(pairs.distinct().join(tested, ["a", "b"], "left_anti"))
+        more, at_more = _verified(pairs, rows, bits)
+        gone.extend([at_pairs, at_more])
+        links, tested = links.unionByName(more), tested.unionByName(pairs)
+
+    posts = _named(firsts.select("node", "n", "prefix"), links).select("node", "n", "c", F.posexplode("prefix").alias("p", "h"))
+    for step in range(3):
+        shared, at_shared = cut(_mixed(posts.select("h", "node", "n", "p", "c")))
+        gone.append(at_shared)
         if not shared.head(1):
             break
-        pairs = _star_pairs(shared, order) if order < ROUNDS else _other_pairs(shared, own.select(F.col("row").alias("node"), "bits"))
-        pairs, at_pairs = cut(pairs.join(tested, ["a", "b"], "left_anti"))
-        more, at_more = _verified(pairs, rows)
-        gone += [at_pairs, at_more]
-        links, tested = links.unionByName(more), tested.unionByName(pairs)
-        shared = shared.drop("c")
+        if step == 0:
+            hold(_star_pairs(shared, step))
+            posts = _named(shared.drop("c"), links)
+        else:
+            found, at_found = cut(_other_pairs(shared, bits, step == 2))
+            gone.append(at_found)
+            hold(found.where("a is not null").select("a", "b"))
+            posts = _named(found.where("h is not null").select("h", "node", "n", "p").distinct(), links)
     roots = components(links)
     named = sets.join(roots, "node", "left").select("sig", F.coalesce("root", "node").alias("root"))
     out, _ = cut(own.select("row", "doc_id", "sig").join(named, "sig").select("row", "doc_id", "root"))
-    drop_cut(spark, at_own, at_sets, at_met, at_shared, *gone)
+    drop_cut(spark, at_own, at_sets, *gone)
     return out
 
 

@@ -101,3 +101,34 @@ def test_fingerprints_and_their_trees_find_links(spark, monkeypatch):
     monkeypatch.setattr(shingle_dedup, "_verified", lambda pairs, *rest: (seen.append({(r["a"], r["b"]) for r in pairs.collect()}), verified(pairs, *rest))[1])
     assert stage(spark, docs) == kept_by_all_pairs(docs)
     assert len(seen[0]) == len(found)
+
+
+def test_pairs_of_a_shingle_grow_with_its_texts(spark):
+    """Where many texts meet and may all be similar, fewer pairs are made than there are texts, and they connect what all pairs connect."""
+    n, names = 40, "h long, node long, n int, p int, c long"
+    mixed = spark.createDataFrame([(h, i, 100, 0, i // 2) for h in (7, 8) for i in range(n)], names)
+    odd = {i: (bytes(64), b"\xff" * 64)[i % 4 // 2] for i in range(n)}
+    bits = spark.createDataFrame([(i, 100, bytearray(x)) for i, x in odd.items()], "node long, n int, bits binary")
+    every = {(a, b) for a in range(n) for b in range(a + 1, n) if a // 2 != b // 2 and odd[a] == odd[b]}
+    assert {(r["a"], r["b"]) for r in shingle_dedup._other_pairs(mixed, bits, True).collect()} == every
+    found = shingle_dedup._other_pairs(mixed, bits, False).collect()
+    few = [(r["a"], r["b"]) for r in found if r["a"] is not None]
+    assert set(few) <= every and len(few) < 2 * n
+    assert {(r["h"], r["node"]) for r in found if r["h"] is not None} == {(h, i) for h in (7, 8) for i in range(n)}
+    at = list(range(n))
+    for a, b in few * n:
+        for x, y in ((a, b), (a ^ 1, a), (b ^ 1, b)):
+            at[x] = at[y] = min(at[x], at[y])
+    assert len(set(at)) == 2
+
+
+def test_texts_that_parities_set_apart_are_not_compared(spark, monkeypatch):
+    texts = {i: " ".join(f"{'common' if j < 30 else f'own{i}'}{j}" for j in range(100)) for i in range(4)}
+    rows = spark.createDataFrame(list(texts.items()), f"{shingle_dedup._ROW} long, text string")
+    sets = {i: shingle_dedup.hasher()(t) for i, t in texts.items()}
+    bits = spark.createDataFrame([(i, len(h), bytearray(shingle_dedup.parities(h))) for i, h in sets.items()], "node long, n int, bits binary")
+    pairs = spark.createDataFrame([(0, 1), (1, 2), (2, 3)], "a long, b long")
+    sizes = []
+    monkeypatch.setattr(shingle_dedup, "cut", lambda df, f=shingle_dedup.cut: (got := f(df), sizes.append((got[0].columns, got[0].count())))[0])
+    assert shingle_dedup._verified(pairs, rows, bits)[0].count() == 0
+    assert (["node", "own"], 0) in sizes
