@@ -17,6 +17,7 @@ their places up.
 
 from __future__ import annotations
 
+import struct
 import unicodedata
 import zlib
 from bisect import bisect_left, insort
@@ -43,7 +44,8 @@ class WordTokenizer:
 
     White space always separates its tokens, so a text's ids are those of its words in turn.  Words of the
     Latin blocks are split by the tokenizer's own pattern and their parts sent to its model; any other word
-    goes through the whole tokenizer.  The memory holds ``most`` words and is emptied when full.
+    goes through the whole tokenizer.  The memory holds ``most`` words; when full it steps back behind a new one, which
+    takes from it the words that come again, so words in use are not split anew.
     """
 
     _PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -55,6 +57,7 @@ class WordTokenizer:
         self.tok, self.most = Tokenizer.from_file(path), most
         self.model, self.parts = self.tok.model, regex.compile(self._PARTS).findall
         self.words: dict[str, bytes] = {"": b""}
+        self.before: dict[str, bytes] = {}
         self.bits: dict[str, bytes] = {}
         self.odd = regex.compile(r"<\||[\x00-\x20\x7f-\xa0]|[^\x00-\u024f]").search
         keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -64,7 +67,8 @@ class WordTokenizer:
     def _part(self, part: str) -> bytes:
         if (got := self.bits.get(part)) is None:
             own = part if part.isascii() else "".join(map(self.byte.__getitem__, part.encode()))
-            got = self.bits[part] = np.array([t.id for t in self.model.tokenize(own)], "<u4").tobytes()
+            ids = [t.id for t in self.model.tokenize(own)]
+            got = self.bits[part] = struct.pack(f"<{len(ids)}I", *ids)
         return got
 
     def _word(self, word: str) -> bytes:
@@ -97,13 +101,13 @@ class WordTokenizer:
 
     def _encode(self, text: str) -> bytes:
         if len(self.words) > self.most:
-            self.words = {"": b""}
+            self.words, self.before = {"": b""}, self.words
         if len(self.bits) > self.most:
             self.bits = {}
         split = text.replace("\n", " ").split(" ")
-        known = self.words
+        known, before = self.words, self.before
         for w in set(split).difference(known):
-            known[w] = self._word(w)
+            known[w] = self._word(w) if (got := before.get(w)) is None else got
         return b"".join(map(known.__getitem__, split))
 
 

@@ -263,6 +263,17 @@ def check_packing(rows, expected):
     return len(by_sequence)
 
 
+def test_words_in_use_are_split_once(monkeypatch):
+    own, asked = packing.WordTokenizer(queries.tokenizer_path("word_bpe_49k.json"), most=50), []
+    monkeypatch.setattr(own, "_word", lambda w, f=own._word: (asked.append(w), f(w))[1])
+    common = [f"often{i}" for i in range(10)]
+    for i in range(100):
+        text = " ".join([*common, *(f"once{i}x{j}" for j in range(8))])
+        assert own.encode(text) == np.array(own.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert all(asked.count(w) == 1 for w in common)
+    assert len(own.words) + len(own.before) < 200
+
+
 def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
