@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -17,24 +19,50 @@ from passages.operators.segments import gold, sentence_arrays
 from passages.ship import ship
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
-
-
-def lstm(x: np.ndarray, lengths: np.ndarray, w: dict[str, np.ndarray], reverse: bool = False) -> np.ndarray:
-    """Hidden states of one LSTM layer for padded sequences (sequence, step, feature), longest first; gates in the order
-    input, forget, cell, output; zero start.  Steps past a sequence's length are zero."""
-    size, steps = w["hidden"].shape[1], x.shape[1]
-    h, c, out = np.zeros((len(x), size)), np.zeros((len(x), size)), np.zeros((*x.shape[:2], size))
-    own = x @ w["input"].T + w["bias"]
-    for t in range(steps):
-        n = int(np.searchsorted(-lengths, -t))  # the sequences with a step t
-        rows, at = np.arange(n), lengths[:n] - 1 - t if reverse else np.full(n, t)
-        i, f, g, o = np.split(own[rows, at] + h[:n] @ w["hidden"].T, 4, axis=1)
-        c[:n] = _sigmoid(f) * c[:n] + _sigmoid(i) * np.tanh(g)
-        h[:n] = _sigmoid(o) * np.tanh(c[:n])
-        out[rows, at] = h[:n]
-    return out
+#: Words that are encoded, and sentences that are run through the document encoder, at a time.
+WORDS_A_PART, SENTENCES_A_PART = 30_000, 30_000
+#: Word vectors that a task holds.
+MOST_VECTORS = 500_000
+
+
+class Packed:
+    """Sequences, longest first, laid out step by step without padding: a step holds those that are long enough, in their order."""
+
+    def __init__(self, lengths: np.ndarray):
+        self.counts = np.searchsorted(-lengths, -np.arange(lengths[0]))
+        self.starts = np.concatenate([[0], np.cumsum(self.counts)])
+        self.step = np.repeat(np.arange(lengths[0]), self.counts)
+        self.row = np.arange(self.starts[-1]) - np.repeat(self.starts[:-1], self.counts)
+        self.turned = self.starts[lengths[self.row] - 1 - self.step] + self.row  # the same sequences from their ends
+        self.ends = self.starts[lengths - 1] + np.arange(len(lengths))
+
+
+def lstm(x: np.ndarray, at: Packed, w: dict[str, np.ndarray], reverse: bool = False) -> np.ndarray:
+    """Hidden states of one LSTM layer for packed sequences (feature, place); gates in the order input, forget, cell, output;
+    zero start.  A sigmoid is taken as half a hyperbolic tangent of the half, so that a step takes one for all gates."""
+    size, n = w["hidden"].shape[1], at.counts[0]
+    half = np.full((4 * size, 1), 0.5)
+    half[2 * size : 3 * size] = 1
+    hidden, own = w["hidden"] * half, (w["input"] * half) @ x + w["bias"][:, None] * half
+    own = own[:, at.turned] if reverse else own
+    h, c, out = np.zeros((size, n)), np.zeros((size, n)), np.empty((size, x.shape[1]))
+    for n, start in zip(at.counts.tolist(), at.starts.tolist(), strict=False):
+        z = hidden @ h[:, :n]
+        z += own[:, start : start + n]
+        np.tanh(z, out=z)
+        i, f, g, o = z[:size], z[size : 2 * size], z[2 * size : 3 * size], z[3 * size :]
+        z[: 2 * size] = z[: 2 * size] * 0.5 + 0.5
+        c[:, :n] = f * c[:, :n] + i * g
+        h[:, :n] = (o * 0.5 + 0.5) * np.tanh(c[:, :n])
+        out[:, start : start + n] = h[:, :n]
+    return out[:, at.turned] if reverse else out
+
+
+def _parts(lengths: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """The numbers of the sequences, longest first, in parts of about ``most`` elements."""
+    order = np.argsort(-lengths, kind="stable")
+    part = (np.cumsum(lengths[order]) - 1) // most
+    yield from np.split(order, np.flatnonzero(np.diff(part)) + 1)
 
 
 class BiLstm:
@@ -52,40 +80,46 @@ class BiLstm:
         return cls(stack(size), stack(encoded), (rng.normal(0, 0.3, (2, ways * hidden)), np.zeros(2)), size, pool)
 
     @staticmethod
-    def _run(x: np.ndarray, lengths: np.ndarray, layers: list[list[dict]]) -> tuple[np.ndarray, np.ndarray]:
-        last, ends = [], (np.arange(len(x)), lengths - 1)
+    def _run(x: np.ndarray, at: Packed, layers: list[list[dict]]) -> tuple[np.ndarray, np.ndarray]:
+        last, firsts = [], np.arange(at.counts[0])
         for ways in layers:
-            outs = [lstm(x, lengths, w, i == 1) for i, w in enumerate(ways)]
-            last += [o[:, 0] if i == 1 else o[ends] for i, o in enumerate(outs)]
-            x = np.concatenate(outs, axis=2)
-        return x, np.concatenate(last, axis=1)
-
-    def _encode(self, sentences: list[np.ndarray]) -> np.ndarray:
-        """Sentence codes.  Sentences of like length are padded together, longest first."""
-        order = sorted(range(len(sentences)), key=lambda i: -len(sentences[i]))
-        codes: list = [None] * len(sentences)
-        at = 0
-        while at < len(order):
-            most = len(sentences[order[at]])
-            part = order[at : at + max(1, 20_000 // most)]
-            lengths = np.array([len(sentences[i]) for i in part])
-            x = np.zeros((len(part), most, self.size))
-            for k, i in enumerate(part):
-                x[k, : lengths[k]] = sentences[i]
-            out, last = self._run(x, lengths, self.encoder)
+            outs = [lstm(x, at, w, i == 1) for i, w in enumerate(ways)]
+            last += [o[:, firsts if i == 1 else at.ends] for i, o in enumerate(outs)]
+            x = np.concatenate(outs)
+        return x, np.concatenate(last)
+
+    def _encode(self, vectors: np.ndarray, words: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Sentence codes (feature, sentence).  Sentences of like length are run together."""
+        starts, codes = np.cumsum(lengths) - lengths, None
+        for part in _parts(lengths, WORDS_A_PART):
+            at = Packed(lengths[part])
+            out, code = self._run(vectors.T[:, words[starts[part][at.row] + at.step]], at, self.encoder)
             if self.pool == "max":
-                last = np.where(np.arange(most)[None, :, None] < lengths[:, None, None], out, -np.inf).max(axis=1)
-            for k, i in enumerate(part):
-                codes[i] = last[k]
-            at += len(part)
-        return np.array(codes)
+                code = out[:, : len(part)].copy()
+                for n, start in zip(at.counts.tolist(), at.starts.tolist(), strict=False):
+                    np.maximum(code[:, :n], out[:, start : start + n], out=code[:, :n])
+            codes = np.empty((len(code), len(lengths))) if codes is None else codes
+            codes[:, part] = code
+        return codes
+
+    def probabilities(self, vectors: np.ndarray, words: np.ndarray, lengths: np.ndarray, sentences: np.ndarray) -> np.ndarray:
+        """Boundary probability of each sentence of many documents: ``words`` are rows of ``vectors``, ``lengths`` the words of
+        each sentence and ``sentences`` the sentences of each document, none of them 0.  Documents do not touch each other."""
+        if not len(sentences):
+            return np.empty(0)
+        codes, starts, p = self._encode(vectors, words, lengths), np.cumsum(sentences) - sentences, np.empty(len(lengths))
+        for part in _parts(sentences, SENTENCES_A_PART):
+            at = Packed(sentences[part])
+            own = starts[part][at.row] + at.step
+            out, _ = self._run(codes[:, own], at, self.document)
+            logits = self.head[0] @ out + self.head[1][:, None]
+            p[own] = 1 / (1 + np.exp(np.clip(logits[0] - logits[1], -40, 40)))
+        return p
 
     def boundary_probabilities(self, sentences: list[np.ndarray]) -> np.ndarray:
         """For all sentences but the last; a sentence is an array (word, feature)."""
-        codes = self._encode(sentences)
-        out, _ = self._run(codes[None], np.array([len(codes)]), self.document)
-        logits = out[0, :-1] @ self.head[0].T + self.head[1]
-        return 1 / (1 + np.exp(np.clip(logits[:, 0] - logits[:, 1], -40, 40)))
+        lengths = np.array([len(s) for s in sentences])
+        return self.probabilities(np.concatenate(sentences), np.arange(lengths.sum()), lengths, np.array([len(sentences)]))[:-1]
 
 
 def _vector(word: str, size: int) -> np.ndarray:
@@ -95,6 +129,18 @@ def _vector(word: str, size: int) -> np.ndarray:
     return np.frombuffer(hashlib.shake_128(word.encode()).digest(2 * size), "<u2") / 32768.0 - 1.0
 
 
+class _Words(dict):
+    """Numbers of words as they are first asked for, and their vectors in that order."""
+
+    def __init__(self, size: int):
+        self.size, self.vectors = size, []
+
+    def __missing__(self, word: str) -> int:
+        self.vectors.append(_vector(word, self.size))
+        self[word] = n = len(self.vectors) - 1
+        return n
+
+
 #: Scorers by name; each makes a model from (vector size, hidden size, seed).
 SCORERS = {
     "max_pool": lambda size, hidden, seed: BiLstm.seeded(size, hidden, seed),
@@ -108,12 +154,24 @@ def score_documents(arrays: DataFrame, model: BiLstm) -> DataFrame:
     ship(arrays.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Words(model.size)
         for batch in batches:
-            out = []
-            for s in batch.column(1).to_pylist():
-                vectors = [np.array([_vector(w, model.size) for w in own]) for t in s or [] if (own := t.split())]
-                out.append([round(float(x), 6) for x in model.boundary_probabilities(vectors)] if len(vectors) > 1 else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float64()))], names=["doc_id", "p"])
+            if len(known) > MOST_VECTORS:
+                known = _Words(model.size)
+            words_, lengths, sentences, texts = array("i"), array("q"), array("q"), iter(batch.column(1).flatten().to_pylist())
+            for n in batch.column(1).value_lengths().fill_null(0).to_pylist():
+                before = len(lengths)
+                for text in islice(texts, n):
+                    if own := text.split():
+                        words_.extend(map(known.__getitem__, own))
+                        lengths.append(len(own))
+                sentences.append(len(lengths) - before)
+            counts = np.array(sentences, np.int64)
+            p = model.probabilities(np.array(known.vectors), np.array(words_, np.int64), np.array(lengths, np.int64), counts[counts > 0])
+            inner = np.ones(len(p), bool)
+            inner[np.cumsum(counts[counts > 0]) - 1] = False
+            ends = np.concatenate([[0], np.cumsum(np.maximum(counts - 1, 0))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.round(p[inner], 6)))], names=["doc_id", "p"])
 
     texts = arrays.select(F.col("doc_id").cast("long"), F.transform("s", lambda x: x["text"]).alias("t"))
     return texts.mapInArrow(run, "doc_id long, p array<double>")

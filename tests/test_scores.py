@@ -138,6 +138,19 @@ def test_recurrent_scorers_against_a_plain_loop(name):
     assert np.allclose(model.boundary_probabilities(sentences), slow_probabilities(model, sentences), atol=1e-9)
 
 
+def test_documents_are_scored_together(spark, monkeypatch):
+    rows = [(d, [("word " * (1 + (d * i) % 7) + "x",) for i in range(d % 5)]) for d in range(60)]
+    arrays, model = spark.createDataFrame(rows, "doc_id long, s array<struct<text:string>>"), learned.SCORERS["max_pool"](4, 3, 2)
+    alone = lambda s: [np.array([learned._vector(w, 4) for w in t.split()]) for (t,) in s]
+    got = {r["doc_id"]: r["p"] for r in learned.score_documents(arrays, model).collect()}
+    assert {d: len(p) for d, p in got.items()} == {d: max(0, len(s) - 1) for d, s in rows}
+    assert all(np.allclose(got[d], slow_probabilities(model, alone(s)), atol=1e-6) for d, s in rows if len(s) > 1)
+    passes, lstm = [], learned.lstm
+    monkeypatch.setattr(learned, "lstm", lambda *a: passes.append(1) or lstm(*a))
+    model.probabilities(np.ones((1, 4)), np.zeros(900, int), np.full(300, 3), np.full(60, 5))
+    assert len(passes) == 8  # two layers both ways, of words and of sentences, however many documents there are
+
+
 def test_early_stop():
     assert learned.early_stop([5, 4, 4, 4.5, 3], 2) == 3 and learned.early_stop([5, 4, 3], 2) is None and learned.early_stop([1, 2, 3], None) is None
 
