@@ -124,9 +124,12 @@ def shuffled_segments(segments: Column, seed: Column) -> Column:
     return F.transform(F.array_sort(keyed), lambda x: x["x"])
 
 
-def question_targets(content: Column) -> Column:
-    """Struct of sentences and targets of a question document, which is one segment: its only target is the last sentence."""
-    own = F.filter(split_sentences(content), lambda x: (F.size(content_words(x)) > 0))
+def question_targets(content: Column, remove_special_tokens: bool = False) -> Column:
+    """Struct of sentences and targets of a question document, which is one segment: its only target is the last sentence.
+
+    Without a sentence there is no target.  A sentence of special tokens alone is none if they are removed.
+    """
+    own = F.filter(split_sentences(content), lambda x: F.size(content_words(x) if remove_special_tokens else words(x)) > 0)
     return let(own, lambda s: F.struct(s.alias("sentences"), F.when(F.size(s) > 0, F.array(F.size(s) - 1)).otherwise(F.array().cast("array<int>")).alias("targets")))
 
 
