@@ -18,7 +18,7 @@ from passages.operators.corpus import article_path
 from passages.operators.ranks import with_total_before
 from passages.ship import ship
 
-PAGE_SCHEMA = "title string, ns int, id bigint, redirect struct<_title:string>, revision struct<id:bigint,text:struct<_VALUE:string,_bytes:int>>"
+PAGE_SCHEMA = "title string, ns int, id bigint, redirect struct<_title:string>, revision struct<id:bigint,text:string>"  # a text of blanks alone is lost where attributes are asked for
 QA_SCHEMA = "id int, title string, qas array<struct<question:string,context:string,answers:array<string>>>, content string, num_sentences int, segmented_sentences array<int>"
 TEMPLATE_NAMESPACES = (10, 828)
 
@@ -26,17 +26,37 @@ TEMPLATE_NAMESPACES = (10, 828)
 def read_dump(spark: SparkSession, path: str) -> DataFrame:
     """page_id, title, ns, text of a page dump (.xml or .xml.bz2), without redirects; of rows that repeat an id the one with the smallest revision stays."""
     rows = spark.read.format("xml").option("rowTag", "page").option("ignoreSurroundingSpaces", "false").schema(PAGE_SCHEMA).load(path).where("redirect is null")
-    page = F.struct("title", "ns", F.col("revision.text._VALUE").alias("text"))
+    page = F.struct("title", "ns", F.col("revision.text").alias("text"))
     own = rows.groupBy(F.col("id").alias("page_id")).agg(F.min_by(page, F.col("revision.id")).alias("p"))
     return own.select("page_id", "p.title", "p.ns", "p.text")
 
 
 def page_element(page_id: Column, title: Column, ns: Column, text: Column) -> Column:
-    """A page as an element of a dump."""
-    own = lambda name, value: F.concat(F.lit(f"<{name}>"), escape_basic(value.cast("string")), F.lit(f"</{name}>"))
+    """A page as an element of a dump, without the element of what is null."""
+    escaped = lambda value: F.replace(escape_basic(value.cast("string")), F.lit("\r"), F.lit("&#13;"))  # noqa: E731  a parser makes \n of \r
+    own = lambda name, value: F.coalesce(F.concat(F.lit(f"<{name}>"), escaped(value), F.lit(f"</{name}>")), F.lit(""))
     return F.concat(F.lit("<page>"), own("title", title), own("ns", ns), own("id", page_id), F.lit("<revision>"), own("id", page_id), own("text", text), F.lit("</revision></page>"))
 
 
+def write_dump(elements: DataFrame, path: str, bytes_a_file: int = 16 << 20) -> None:
+    """Elements (value) as dumps of about ``bytes_a_file`` bytes, each a file with a root of its own: a file is read by one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = lambda own: pa.RecordBatch.from_arrays([pa.array(["\n".join(["<mediawiki>", *own, "</mediawiki>"])])], names=["value"])
+        held, size = [], 0
+        for batch in batches:
+            for x in batch.column(0):
+                held.append(x.as_py())
+                size += len(x.as_buffer())
+                if size >= bytes_a_file:
+                    yield whole(held)
+                    held, size = [], 0
+        if held:
+            yield whole(held)
+
+    elements.select("value").mapInArrow(run, "value string").write.option("maxRecordsPerFile", 1).text(path)
+
+
 def read_siteinfo(spark: SparkSession, path: str) -> tuple[str, dict[int, str]]:
     """URL base and namespaces by number."""
     schema = "base string, namespaces struct<namespace:array<struct<_VALUE:string,_key:int>>>"

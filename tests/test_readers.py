@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from passages.functions import markup
 from passages.operators import segments as sg
+from passages.plans import registry
 from passages.sources import readers
+from tests.compare import spark_rows, sql_rows
 
 DUMP = """<mediawiki><siteinfo><base>http://e/wiki/Main</base><namespaces><namespace key="10">Template</namespace><namespace key="0"/></namespaces></siteinfo>
 <page><title>A</title><ns>0</ns><id>12</id><revision><id>99</id><text bytes="9">==H==
@@ -34,6 +36,32 @@ def test_dump_to_lines(spark, tmp_path, packed):
     assert [(r["page_id"], r["body"], r["error"]) for r in got] == [(12, "========,2,H.\n***LIST***. \nbody [q] & more", None)]
 
 
+def test_pages_of_any_text_come_back_from_dumps_of_bounded_size(spark, tmp_path):
+    texts = ["", " ", "\n", " \n\t ", None, "a\r\nb\rc", " lead and trail ", "]]> <!-- c --> &amp; <b>", "</page><page>", "null", "é😀" * 9]
+    rows = [(i, None if i == 9 else f"T {i} & <", 0, t) for i, t in enumerate(texts * 9)]
+    pages = spark.createDataFrame(rows, "page_id long, title string, ns int, text string").repartition(2)
+    readers.write_dump(pages.select(readers.page_element(*map(F.col, pages.columns)).alias("value")), str(tmp_path / "d"), 2000)
+    sizes = [p.stat().st_size for p in (tmp_path / "d").glob("*.txt")]
+    assert len(sizes) > 5 and max(sizes) < 3000
+    assert sorted(map(tuple, readers.read_dump(spark, str(tmp_path / "d")).select(pages.columns).collect())) == rows
+
+
+def test_targets_of_question_documents(spark):
+    texts = ["", ".", None, "One. Two! Three", "***LIST***. a. ***LIST***."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    get = lambda *a: [r["x"]["sentences"] and (len(r["x"]["sentences"]), r["x"]["targets"]) for r in docs.select("doc_id", readers.question_targets(F.col("text"), *a).alias("x")).sort("doc_id").collect()]
+    assert get() == [[], [], None, (3, [2]), (3, [2])] and get(True)[4] == (1, [0])
+
+
+@pytest.mark.parametrize("name", ["l10_question_targets", "s01_dump", "s06_templates"])
+def test_texts_that_are_empty_or_missing_equal_their_sql(spark, tmp_path, name):
+    texts = ["", " ", "\n", ".", None, "a\rb\r\nc", "***LIST***. a.", "***formula***", "One. Two!"]
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(t for t in texts for _ in range(15))]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(str(tmp_path / "d"))
+    next((tmp_path / "d").glob("*.parquet")).rename(tmp_path / "documents.parquet")
+    assert spark_rows(registry.queries()[name](spark, str(tmp_path))) == sql_rows(registry.oracle_sql()[name], tmp_path)
+
+
 def test_templates_are_bounded(spark, monkeypatch):
     monkeypatch.setattr(markup, "TEMPLATE_BYTES", 10)
     pages = spark.createDataFrame([(1, "T", "x")], "page_id long, title string, text string")
