@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from passages.functions.text import let, one_line, scan, sentence_count, split_words, stable_hash, words
+from passages.functions.text import let, one_line, sentence_count, stable_hash, words
 from passages.operators.ranks import with_total_before
 from passages.ship import ship
 
@@ -60,12 +62,15 @@ def question_counts(docs: DataFrame) -> DataFrame:
 def fixed_chunks(docs: DataFrame, budget: int = 256) -> DataFrame:
     """doc_id, chunk_idx, chunk, n_words, chunk_id: greedy chunks that close once the words and their blanks reach ``budget`` characters."""
 
-    def ends(w: Column) -> Column:
-        size = lambda held, x: held + F.length(x) + 1
-        return scan(w, F.lit(0), lambda held, x: F.when(size(held, x) >= budget, 0).otherwise(size(held, x)), lambda held, x: size(held, x) >= budget, "boolean")
+    def chunks(text: str) -> Iterator[list[str]]:
+        words_ = text.split()
+        sizes, start, before = list(accumulate(len(w) + 1 for w in words_)), 0, 0
+        while start < len(words_):
+            end = min(bisect_left(sizes, before + budget, start), len(words_) - 1) + 1
+            yield words_[start:end]
+            start, before = end, sizes[end - 1]
 
-    own = docs.select("doc_id", split_words(F.coalesce(F.col("text"), F.lit(""))).alias("w"))
-    return _chunk_rows(own.select("doc_id", "w", let(F.col("w"), ends).alias("ends")))
+    return _chunk_rows(docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text")), chunks)
 
 
 def segment_chunks(arrays: DataFrame, flags: str, budget: int = 256, level: str = "word") -> DataFrame:
@@ -73,30 +78,51 @@ def segment_chunks(arrays: DataFrame, flags: str, budget: int = 256, level: str
 
     level "sentence" tests the budget in characters after whole sentences; "word" keeps each chunk under ``budget`` words.
     """
-    own = arrays.select("doc_id", F.zip_with("s", flags, lambda x, f: F.struct(split_words(F.coalesce(x["text"], F.lit(""))).alias("w"), (F.coalesce(f, F.lit(0)) == 1).alias("cut"))).alias("s"))
-    last = lambda w, i: i == F.size(w) - 1
-    if level == "sentence":
-        size = lambda held, x: held + F.aggregate(x["w"], F.lit(0), lambda a, w: a + F.length(w) + 1)
-        close = lambda held, x: x["cut"] | (size(held, x) >= budget)
-        closes = scan(F.col("s"), F.lit(0), lambda held, x: F.when(close(held, x), 0).otherwise(size(held, x)), close, "boolean")
-        ends = let(closes, lambda c: F.flatten(F.transform("s", lambda x, k: F.transform(x["w"], lambda w, i: last(x["w"], i) & F.get(c, k)))))
-        return _chunk_rows(own.select("doc_id", F.flatten(F.transform("s", lambda x: x["w"])).alias("w"), ends.alias("ends")))
-    own = own.select("doc_id", F.flatten(F.transform("s", lambda x: F.transform(x["w"], lambda w, i: F.struct(w.alias("w"), (last(x["w"], i) & x["cut"]).alias("cut"))))).alias("x"))
     full = max(budget - 1, 1)
-    closes = scan(F.col("x"), F.lit(0), lambda held, x: F.when(x["cut"] | (held + 1 >= full), 0).otherwise(held + 1), lambda held, x: x["cut"] | (held + 1 >= full), "boolean")
-    return _chunk_rows(own.select("doc_id", F.transform("x", lambda x: x["w"]).alias("w"), closes.alias("ends")))
 
-
-def _chunk_rows(rows: DataFrame) -> DataFrame:
-    """Rows of (doc_id, words, whether a chunk ends at each) as chunks; the last word ends one too."""
-    places = F.filter(F.transform("ends", lambda e, i: F.when(e | (i == F.size("w") - 1), i)), lambda i: i.isNotNull())
-
-    def parts(p: Column) -> Column:
-        start = lambda j: F.coalesce(F.get(p, j - 1) + 1, F.lit(0))
-        return F.transform(p, lambda x, j: F.slice("w", start(j) + 1, x - start(j) + 1))
-
-    made = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(let(places, parts)).alias("n", "c"))
-    made = made.select("doc_id", F.col("n").cast("long").alias("chunk_idx"), F.array_join("c", " ").alias("chunk"), F.size("c").cast("long").alias("n_words"))
+    def by_sentence(texts: list[str], cuts: list[bool]) -> Iterator[list[str]]:
+        held, size = [], 0
+        for text, cut in zip(texts, cuts, strict=True):
+            own = text.split()
+            held += own
+            size += sum(map(len, own)) + len(own)
+            if cut or size >= budget:
+                size = 0
+                if own:
+                    yield held
+                    held = []
+        if held:
+            yield held
+
+    def by_word(texts: list[str], cuts: list[bool]) -> Iterator[list[str]]:
+        held: list[str] = []
+        for i, (text, cut) in enumerate(zip(texts, cuts, strict=True)):
+            held += (own := text.split())
+            if (cut and own) or i == len(texts) - 1:
+                yield from (held[k : k + full] for k in range(0, len(held), full))
+                held = []
+
+    own = arrays.select(F.col("doc_id").cast("long"), F.zip_with("s", flags, lambda x, f: F.struct(F.coalesce(x["text"], F.lit("")).alias("text"), (F.coalesce(f, F.lit(0)) == 1).alias("cut"))).alias("s"))
+    return _chunk_rows(own.where("s is not null").select("doc_id", F.transform("s", lambda x: x["text"]).alias("texts"), F.transform("s", lambda x: x["cut"]).alias("cuts")), by_sentence if level == "sentence" else by_word)
+
+
+def _chunk_rows(docs: DataFrame, chunks: Callable[..., Iterator[list[str]]]) -> DataFrame:
+    """Rows of the chunks, as lists of words, that ``chunks`` makes of the columns after doc_id.  A document takes time linear
+    in its words, which folds over arrays in SQL did not."""
+    ship(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, places, texts, counts = [], [], [], []
+            for doc_id, *own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for k, c in enumerate(chunks(*own)):
+                    ids.append(doc_id)
+                    places.append(k)
+                    texts.append(" ".join(c))
+                    counts.append(len(c))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(places, pa.int64()), pa.array(texts, pa.string()), pa.array(counts, pa.int64())], names=["doc_id", "chunk_idx", "chunk", "n_words"])
+
+    made = docs.mapInArrow(run, "doc_id long, chunk_idx long, chunk string, n_words long")
     return made.withColumn("chunk_id", F.sha2(F.concat_ws(":", "doc_id", "chunk_idx"), 256))
 
 

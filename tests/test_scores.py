@@ -1,6 +1,7 @@
 """Scores, chunks and scorers against brute force and pinned values; odd documents; streaming."""
 
 import math
+import time
 
 import numpy as np
 import pytest
@@ -103,6 +104,39 @@ def test_ranks_across_cuts(spark):
         assert got == {i: sum((h, y, j) < (h, x, i) for h, y, j in rows if h == g) for g, x, i in rows} | {1000: 0}
 
 
+def test_chunks_of_long_documents_take_linear_time(spark):
+    took = []
+    for n in (1_000, 4_000_000):
+        docs = spark.createDataFrame([(1, "word " * n)], "doc_id long, text string")
+        arrays = docs.selectExpr("doc_id", f"transform(sequence(1, {n // 100}), i -> named_struct('text', repeat('word ', 100))) as s", f"transform(sequence(1, {n // 100}), i -> int(i % 5 = 0)) as flags")
+        began = time.monotonic()
+        got = [x.agg(F.count("*"), F.sum("n_words"), F.max("n_words")).head() for x in (rag.fixed_chunks(docs), rag.segment_chunks(arrays, "flags", 64), rag.segment_chunks(arrays, "flags", 256, "sentence"))]
+        took.append(time.monotonic() - began)
+        assert [tuple(r) for r in got] == [(-(-n // 52), n, 52), (n // 500 * 8, n, 63), (n // 100, n, 100)]
+    assert took[1] < 60  # minutes when folded over arrays
+
+
+@pytest.mark.parametrize("level", ["word", "sentence"])
+def test_segment_chunks_against_a_plain_loop(spark, level):
+    rng = np.random.default_rng(3)
+    rows = [(d, [(" ".join("w" * int(k) for k in rng.integers(1, 9, rng.integers(0, 30))),) for _ in range(rng.integers(0, 9))]) for d in range(40)]
+    rows = [(d, s, [int(x) for x in rng.integers(0, 2, len(s))]) for d, s in rows]
+    want = []
+    for d, s, flags in rows:
+        held, size, made = [], 0, []
+        for (text,), flag in zip(s, flags, strict=True):
+            own = text.split()
+            for i, w in enumerate(own):
+                held, size = [*held, w], size + (len(w) + 1 if level == "sentence" else 1)
+                if level == "word" and ((i == len(own) - 1 and flag) or size >= 19):
+                    made, held, size = [*made, held], [], 0
+            if level == "sentence" and (flag or size >= 20):
+                made, held, size = ([*made, held], [], 0) if own else (made, held, 0)
+        want += [(d, k, " ".join(c), len(c)) for k, c in enumerate([*made, held] if held else made)]
+    got = rag.segment_chunks(spark.createDataFrame(rows, "doc_id long, s array<struct<text:string>>, flags array<int>"), "flags", 20, level)
+    assert sorted(map(tuple, got.drop("chunk_id").collect())) == want
+
+
 def lstm_one(x, w, reverse):
     size = w["hidden"].shape[1]
     h, c, out = np.zeros(size), np.zeros(size), [None] * len(x)
