@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from passages.functions.text import stable_hash, words
 from passages.operators.segments import gold, sentence_arrays
+from passages.shared import shared_folder
 from passages.ship import ship
 
 
@@ -177,19 +178,30 @@ def score_documents(arrays: DataFrame, model: BiLstm) -> DataFrame:
     return texts.mapInArrow(run, "doc_id long, p array<double>")
 
 
-def boundary_features(docs: DataFrame) -> DataFrame:
-    """doc_id, pos, label and features of each sentence but the last: lengths, word overlap with the next, place."""
-    own = sentence_arrays(docs).where(F.size("s") > 1).select("doc_id", "s", gold(F.col("s")).alias("g"))
+def boundary_counts(docs: DataFrame) -> DataFrame:
+    """doc_id, pos, n, label, own, next, both of each sentence but the last: sentences of its document, distinct words of its own, of the next and of both."""
+    own = sentence_arrays(docs).select("doc_id", "s", gold(F.col("s")).alias("g"))
     own = own.select("doc_id", "g", F.transform("s", lambda x: F.array_distinct(words(F.lower(x["text"])))).alias("w"), F.size("s").alias("n"))
-    rows = own.select("doc_id", "n", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("n") - 2), lambda i: F.struct(F.get("g", i).alias("label"), F.size(F.get("w", i)).alias("own"), F.size(F.get("w", i + 1)).alias("next"), F.size(F.array_intersect(F.get("w", i), F.get("w", i + 1))).alias("both")))).alias("pos", "x"))
-    share = F.col("x.both") / F.greatest(F.lit(1), F.least("x.own", "x.next"))
-    return rows.select("doc_id", "pos", F.col("x.label").cast("double").alias("label"), F.log1p("x.own").alias("f_own"), F.log1p("x.next").alias("f_next"), share.alias("f_overlap"), (F.col("pos") / F.col("n")).alias("f_place"))
+    inner = F.when(F.col("n") > 1, F.sequence(F.lit(0), F.col("n") - 2))  # a filter would make the sentences once more
+    rows = own.select("doc_id", "n", F.posexplode(F.transform(inner, lambda i: F.struct(F.get("g", i).alias("label"), F.size(F.get("w", i)).alias("own"), F.size(F.get("w", i + 1)).alias("next"), F.size(F.array_intersect(F.get("w", i), F.get("w", i + 1))).alias("both")))).alias("pos", "x"))
+    return rows.select("doc_id", "pos", "n", "x.label", "x.own", "x.next", "x.both")
+
+
+def boundary_features(counts: DataFrame) -> DataFrame:
+    """doc_id, pos, label and features of counts: lengths, word overlap with the next, place."""
+    share = F.col("both") / F.greatest(F.lit(1), F.least("own", "next"))
+    return counts.select("doc_id", "pos", F.col("label").cast("double").alias("label"), F.log1p("own").alias("f_own"), F.log1p("next").alias("f_next"), share.alias("f_overlap"), (F.col("pos") / F.col("n")).alias("f_place"))
 
 
 def trained_segmenter(docs: DataFrame, seed_share: int = 80) -> DataFrame:
-    """doc_id, pos, label, p: a logistic boundary classifier, trained on the hashed training share and applied to all."""
+    """doc_id, pos, label, p: a logistic boundary classifier, trained on the hashed training share and applied to all.
+
+    The texts are read once: the counts are written, and training and application read those.
+    """
+    path = shared_folder(docs.sparkSession, "boundaries")
+    boundary_counts(docs).write.parquet(path)
     names = ["f_own", "f_next", "f_overlap", "f_place"]
-    rows = VectorAssembler(inputCols=names, outputCol="features").transform(boundary_features(docs))
+    rows = VectorAssembler(inputCols=names, outputCol="features").transform(boundary_features(docs.sparkSession.read.parquet(path)))
     train = rows.where(stable_hash(F.col("doc_id").cast("string")) % 100 < seed_share)
     model = LogisticRegression(maxIter=20, regParam=0.01).fit(train)
     return model.transform(rows).select("doc_id", "pos", "label", F.round(vector_to_array("probability")[1], 6).alias("p"))

@@ -185,6 +185,20 @@ def test_documents_are_scored_together(spark, monkeypatch):
     assert len(passes) == 8  # two layers both ways, of words and of sentences, however many documents there are
 
 
+def test_trained_segmenter_reads_the_texts_once(spark):
+    reads = spark.sparkContext.accumulator(0)
+    rows = [(d, "\n".join(f"Word {i} of {d % 7}. Then {i % 3} more! Last" for i in range(d % 5 + 1))) for d in range(200)]
+
+    def count(batches):
+        for b in batches:
+            reads.add(b.num_rows)
+            yield b
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string").mapInArrow(count, "doc_id long, text string")
+    got = learned.trained_segmenter(docs).collect()
+    assert reads.value == len(rows) and len(got) == sum(3 * (d % 5 + 1) - 1 for d, _ in rows) and all(0 < r["p"] < 1 for r in got)
+
+
 def test_early_stop():
     assert learned.early_stop([5, 4, 4, 4.5, 3], 2) == 3 and learned.early_stop([5, 4, 3], 2) is None and learned.early_stop([1, 2, 3], None) is None
 
