@@ -6,7 +6,7 @@ scoring are one narrow stage without a shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passages.functions.text import let, split_sentences, stable_hash, words
@@ -255,9 +255,11 @@ def annotator_scores(annotations: DataFrame, gold_rows: DataFrame) -> DataFrame:
 
     The last sentence is a cut whatever the annotator says; documents whose lengths differ from gold have matched = false.
     """
-    w = Window.partitionBy("annotator", "doc_id")
-    marked = annotations.withColumn("cut", F.when(F.col("sent_idx") == F.max("sent_idx").over(w), 1).otherwise(F.coalesce("cut", F.lit(0))))
-    ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("sent_idx", c))), lambda x: x[c])
-    hyp = marked.groupBy("annotator", "doc_id").agg(ordered("cut").alias("hyp"))
+    ordered = F.array_sort(F.collect_list(F.struct("sent_idx", F.coalesce("cut", F.lit(0)).alias("cut"))))
+    hyp = annotations.groupBy("annotator", "doc_id").agg(ordered.alias("h")).select("annotator", "doc_id", F.transform("h", lambda x, i: F.when(x["sent_idx"] == F.element_at("h", -1)["sent_idx"], 1).otherwise(x["cut"])).alias("hyp"))
     both = hyp.join(gold_rows.select("doc_id", "gold"), "doc_id").withColumn("matched", F.size("hyp") == F.size("gold"))
-    return window_scores(both.where("matched")).select("annotator", "doc_id", "n", "k", "windows", "pk_errors", "matched").unionByName(both.where("not matched").selectExpr("annotator", "doc_id", "size(hyp) as n", "cast(null as int) as k", "0L as windows", "0L as pk_errors", "matched"))
+    k = F.when(F.col("matched"), window_size(F.col("gold")))
+    sized = both.select("*", F.size("hyp").alias("n"), k.alias("k"))
+    windows = F.when(F.col("matched"), F.greatest(F.lit(0), F.col("n") - F.col("k"))).otherwise(0).cast("long")
+    errors = F.when(F.col("matched"), window_errors(F.col("gold"), F.col("hyp"), F.col("k"))).otherwise(0).cast("long")
+    return sized.select("annotator", "doc_id", "n", "k", windows.alias("windows"), errors.alias("pk_errors"), "matched")

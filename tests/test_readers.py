@@ -150,6 +150,14 @@ def test_annotators_with_gaps_and_other_lengths(spark):
     assert got == {("a", 1): (True, 4, 2, 1), ("b", 1): (False, 1, 0, 0), ("b", 2): (True, 2, 0, 0)}
 
 
+def test_annotators_are_scored_in_one_reading_of_each_side(spark):
+    gold = spark.createDataFrame([(1, [0, 1]), (2, [1])], "doc_id long, gold array<int>")
+    cuts = spark.createDataFrame([("a", 1, 0, 0), ("a", 1, 1, 1), ("a", 2, 0, 0), ("a", 2, 1, 0)], "annotator string, doc_id long, sent_idx long, cut int")
+    plan = sg.annotator_scores(cuts, gold)._jdf.queryExecution().optimizedPlan()
+    assert plan.collectLeaves().size() == 2 and "Window" not in plan.toString()
+    assert sorted(map(tuple, sg.annotator_scores(cuts, gold).collect())) == [("a", 1, 2, 2, 0, 0, True), ("a", 2, 2, None, 0, 0, False)]
+
+
 def test_settings(tmp_path):
     (tmp_path / "c.json").write_text(json.dumps({"a": {"y": 3}, "b": None}))
     assert readers.read_config(str(tmp_path / "c.json"), {"a": {"x": 1, "y": 2}, "b": 5}) == {"a": {"x": 1, "y": 3}, "b": 5}
