@@ -21,6 +21,8 @@ from passages.ship import ship
 PAGE_SCHEMA = "title string, ns int, id bigint, redirect struct<_title:string>, revision struct<id:bigint,text:string>"  # a text of blanks alone is lost where attributes are asked for
 QA_SCHEMA = "id int, title string, qas array<struct<question:string,context:string,answers:array<string>>>, content string, num_sentences int, segmented_sentences array<int>"
 TEMPLATE_NAMESPACES = (10, 828)
+#: Words that a task joins with their vectors.
+ROWS_A_TASK = 2_000_000
 
 
 def read_dump(spark: SparkSession, path: str) -> DataFrame:
@@ -229,14 +231,26 @@ def read_word_vectors(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path").mapInArrow(run, "word string, vec array<float>")
 
 
-def with_vectors(words: DataFrame, vectors: DataFrame, unknown: str = "UNK") -> DataFrame:
+def with_vectors(words: DataFrame, vectors: DataFrame, unknown: str = "UNK", counts: DataFrame | None = None) -> DataFrame:
     """words (with a column word) and their vectors; a missing word has that of ``unknown``, and is an error where there is none.
 
-    Common words make a skewed join, which adaptive execution splits on the side of the words.
+    ``counts`` (word, count) of the words are made if they are not given.  Common words are dealt over several parts, each with
+    a copy of the vector, and the parts over as many tasks as hold ``ROWS_A_TASK`` rows each.
     """
-    row = vectors.where(F.col("word") == unknown).select("vec").head()
+    spark, row = words.sparkSession, vectors.where(F.col("word") == unknown).select("vec").head()
     fallback = F.array(*map(F.lit, row["vec"])).cast(vectors.schema["vec"].dataType) if row else F.raise_error(F.concat(F.lit(f"no vector for {unknown!r}, nor for "), "word")).cast(vectors.schema["vec"].dataType)
-    return words.join(vectors, "word", "left").withColumn("vec", F.when(F.col("vec").isNotNull(), F.col("vec")).otherwise(fallback))
+    counts, most = words.groupBy("word").count() if counts is None else counts, max(1, ROWS_A_TASK // 8)
+    parts = F.when(F.col("count") > most, F.struct("word", F.ceil(F.col("count") / most).cast("int").alias("_parts")))
+    total, common = counts.agg(F.sum("count"), F.collect_list(parts)).head()  # common: less than one word for each ``most`` rows
+    on, tasks = ["word"], -(-(total or 0) // ROWS_A_TASK)
+    if common:
+        common = F.broadcast(spark.createDataFrame(common, "word string, _parts int"))
+        number, on = F.coalesce("_parts", F.lit(1)), ["word", "_part"]
+        words = words.join(common, "word", "left").withColumn("_part", (F.monotonically_increasing_id() % number).cast("int")).drop("_parts")
+        vectors = vectors.join(common, "word", "left").withColumn("_part", F.explode(F.sequence(F.lit(0), number - 1))).drop("_parts")
+    if tasks > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        words, vectors = words.repartition(tasks, *on), vectors.repartition(tasks, *on)
+    return words.join(vectors, on, "left").drop("_part").withColumn("vec", F.when(F.col("vec").isNotNull(), F.col("vec")).otherwise(fallback))
 
 
 def write_corpus(rows: DataFrame, path: str) -> None:

@@ -2,6 +2,7 @@
 
 import bz2
 import json
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -127,6 +128,18 @@ def test_word_vectors_of_any_size_are_read_as_a_stream(spark, tmp_path):
         readers.with_vectors(words, vectors.where("word <> 'UNK'")).collect()
 
 
+def test_common_words_are_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(readers, "ROWS_A_TASK", 80)
+    rows = [(i, "the" if i % 2 else None if i % 10 == 0 else f"w{i % 40}") for i in range(2000)]
+    words = spark.createDataFrame(rows, "doc_id long, word string").repartition(3)
+    vectors = spark.createDataFrame([("the", [1.0], 7), ("UNK", [0.5], 0)] + [(f"w{i}", [float(i)], 7) for i in range(20)], "word string, vec array<float>, known int")
+    got = readers.with_vectors(words, vectors).select("doc_id", "word", "vec", "known", F.spark_partition_id().alias("task")).collect()
+    known = {"the": 1.0} | {f"w{i}": float(i) for i in range(20)}
+    want = sorted((i, w or "", [known.get(w, 0.5)], 7 if w in known else None) for i, w in rows)
+    assert sorted((r["doc_id"], r["word"] or "", r["vec"], r["known"]) for r in got) == want
+    assert max(Counter(r["task"] for r in got if r["word"] == "the").values()) < 300  # of 1000 in one task before
+
+
 def test_aligned_files_must_have_as_many_lines(spark):
     lines = spark.createDataFrame([(0, "a"), (1, "b")], "line_no long, value string")
     with pytest.raises(ValueError):
